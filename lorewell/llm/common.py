@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,13 +33,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` as a Parquet table in the shared folder, and its path: cuts lineage, survives lost executors."""
+    """`df` as a Parquet table in the shared folder, and its path: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Removes written tables that nothing reads any more."""
     jvm = spark._jvm
