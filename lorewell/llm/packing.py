@@ -14,7 +14,6 @@ text. An empty table gives no rows. Keys must lie within +-2**47. Every id is in
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +31,30 @@ def cut(points: list[int], penalty: list[int], width: int, hard: int) -> list[in
 
     points ascend in steps of at most `width`; penalty[j] is that of cutting at points[j].
     """
-    powers = [1 << k for k in range(max(width.bit_length() - 3, 0), width.bit_length()) if 1 << k < width]
-    best, key, back = [0], [0], [0]
-    at = {0: 0}
-    queue: deque[int] = deque([0])
     pos = [0, *points]
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while pos[queue[0]] < p - width:
-            queue.popleft()
-        i = queue[0]
-        cost = key[i] + width - p
-        for s in powers:
-            k = at.get(p - s)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
-        cost += penalty[j - 1]
-        best.append(cost)
-        back.append(i)
-        k = cost + p
+    at = np.array(pos)
+    # Earlier points at a power of two; few, so they stand in a dict.
+    near: dict[int, list[int]] = {}
+    for s in (1 << k for k in range(max(width.bit_length() - 3, 0), width.bit_length()) if 1 << k < width):
+        i = np.searchsorted(at, at - s)
+        for j in np.flatnonzero(at[i] == at - s).tolist():
+            near.setdefault(j, []).append(int(i[j]))
+    # key(j) = f(j) + p(j), so key(j) = penalty(j) + width + the window's least key.
+    key, back, queue, head = [0], [0], [0], 0
+    for j, (p, fine) in enumerate(zip(points, penalty), 1):
+        low = p - width
+        while pos[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        k = key[i] + width + fine
+        if j in near:
+            for t in near[j]:
+                c = key[t] - pos[t] + p + fine
+                if c < k:
+                    k, i = c, t
         key.append(k)
-        at[p] = j
-        while queue and key[queue[-1]] >= k:
+        back.append(i)
+        while len(queue) > head and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
     total = pos[-1]
@@ -64,7 +65,7 @@ def cut(points: list[int], penalty: list[int], width: int, hard: int) -> list[in
     first = len(pos) - 2
     while first > 0 and pos[first - 1] >= total - width:
         first -= 1
-    last = min((i for i in range(first, len(pos) - 1) if total - pos[i] <= width), key=lambda i: (best[i] + rest(total - pos[i]), -i))
+    last = min((i for i in range(first, len(pos) - 1) if total - pos[i] <= width), key=lambda i: (key[i] - pos[i] + rest(total - pos[i]), -i))
     n, ends = total - pos[last], [total]
     if width - n > hard * (n.bit_count() - 1):
         while n & (n - 1):
@@ -137,7 +138,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 16, block_docs: int = 1024, flush: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 32, block_docs: int = 1024, flush: int = 1 << 21) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The texts are shuffled once, by block. A task holds one run of at most `flush` ids and a document. Sequence ids ascend

@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of space-separated parts.
+"""Token ids of whole texts by the tokenizers library, with a cache of words.
 
 Both kinds of pre-tokenizer that the public files use never join what stands left and right of a single
-space between two characters that are no white space: a token either ends before that space or begins with
-it. A text is therefore cut at such spaces, each distinct part is encoded once by the library, and
-the ids are joined. White-space runs stay inside their part and the library sees them whole.
+space or line break between two characters that are no white space: a token ends before it, or it is a token (or
+nothing) of its own, or a space begins the next token. A text is therefore cut there, each distinct part
+is encoded once by the library, and the ids are joined. A part of letters and then ASCII punctuation is two pre-tokens and
+its letters are kept as one word. White-space runs stay inside their part and the library sees them whole.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from array import array
 import numpy as np
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r" \s|\s ")
+_UNSAFE = re.compile(r"[ \n]\s|\s[ \n]")
+#: ASCII punctuation without the apostrophe, which may begin a contraction.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[tuple, "Encoder"] = {}
 
 
 class Encoder:
-    #: Cached parts, and the longest part that is kept; both only bound memory.
-    MOST, LONGEST = 300_000, 64
+    #: Cached parts and words, and the longest that is kept; both only bound memory.
+    MOST, LONGEST = 700_000, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,34 +35,74 @@ class Encoder:
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(parts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of letters after a space; many words go through the library as one text of lines."""
+        out: list[bytes] = []
+        runs = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for run, e in zip(runs, self.tok.encode_batch([" " + "\n ".join(r) for r in runs], add_special_tokens=False)):
+            of = np.array(e.word_ids)
+            raw = np.array(e.ids, np.uint32).tobytes()
+            at = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if len(at) + 1 not in (len(run), 2 * len(run) - 1):
+                out += self._each([" " + w for w in run])  # a word that the normaliser breaks up
+                continue
+            at = [0, *(4 * at).tolist(), len(raw)]
+            step = 1 if len(at) - 1 == len(run) else 2
+            out += [raw[at[i] : at[i + 1]] for i in range(0, len(at) - 1, step)]
+        return out
 
-    def _fill(self, cache: dict[str, bytes], parts: list[str], lead: str) -> None:
-        enc = self.tok.encode_batch([lead + p for p in parts], add_special_tokens=False)
-        for p, e in zip(parts, enc):
-            cache[p] = array("I", e.ids).tobytes()
+    def _fill(self, parts: set[str]) -> None:
+        """Parts that follow a space (or begin with a line break) into the cache."""
+        words, first, cores, heads, odd = self.words, self.first, {}, {}, []
+        bare = []
+        for p in parts:
+            if p.isalpha():
+                bare.append(p)
+                continue
+            q = p[1:] if p[0] == "\n" else p
+            core = q.rstrip(_SIGNS)
+            if core.isalpha():
+                (heads if q is not p else cores)[p] = (core, q[len(core) :])
+            else:
+                odd.append(p)
+        rest = self.rest
+        odds = zip(odd, self._each([p if p[0] == "\n" else " " + p for p in odd]))
+        rest.update(odds)
+        new = list({c for c, _ in cores.values()}.union(bare).difference(words))
+        words.update(zip(new, self._spaced(new)))
+        rest.update(zip(bare, map(words.__getitem__, bare)))
+        new = list({x for pair in (*heads.values(), *((s,) for _, s in cores.values()), "\n") for x in pair if x}.difference(first))
+        first.update(zip(new, self._each(new)))
+        for p, (c, s) in cores.items():
+            rest[p] = words[c] + first[s]
+        for p, (c, s) in heads.items():
+            rest[p] = first["\n"] + first[c] + (first[s] if s else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers, little-endian on every machine that Spark runs on."""
-        if len(self.rest) > self.MOST:
-            self.rest.clear()
-        if len(self.first) > self.MOST:
-            self.first.clear()
+        for c in (self.first, self.rest, self.words):
+            if len(c) > self.MOST:
+                c.clear()
         split = []
         for t in texts:
-            bad = t[:1] == " " or t[-1:] == " " or _UNSAFE.search(t)
-            split.append(_SAFE.split(t) if bad else t.split(" "))
-        heads = {p[0] for p in split}.difference(self.first)
-        tails = set().union(*split).difference(self.rest) if split else set()
-        if heads:
-            self._fill(self.first, list(heads), "")
-        if tails:
-            self._fill(self.rest, list(tails), " ")
+            bad = t[:1].isspace() or t[-1:].isspace() or _UNSAFE.search(t)
+            split.append(_SAFE.split(t) if bad else t.replace("\n", " \n").split(" "))
+        heads = list({p[0] for p in split}.difference(self.first))
+        self.first.update(zip(heads, self._each(heads)))
         first, rest = self.first, self.rest.__getitem__
-        out = [first[p[0]] + b"".join(map(rest, p[1:])) for p in split]
-        for c, new in ((self.first, heads), (self.rest, tails)):
+        lead = [first[p.pop(0)] for p in split]
+        tails = set().union(*split).difference(self.rest)
+        self._fill(tails)
+        out = [a + b"".join(map(rest, p)) for a, p in zip(lead, split)]
+        for c, new in ((self.first, heads), (self.rest, tails), (self.words, tails)):
             for p in new:
                 if len(p) > self.LONGEST:
-                    del c[p]
+                    c.pop(p, None)
         return out
 
 
