@@ -39,20 +39,25 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with _cleaning(spark):
+    with _settings(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Shuffle files of a write go when it ends; Arrow batches of texts stay small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextlib.contextmanager
-def _cleaning(spark: SparkSession):
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession):
+    was = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

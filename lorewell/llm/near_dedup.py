@@ -9,8 +9,8 @@ similarity; candidates above the threshold less `margin` are verified on the who
 Work follows classes of equal sets, so exact copies of any number are one representative. In a bucket
 each member is compared with the least one (a star, not all pairs), the links found make components, and only buckets that
 still hold members of several components go on: there the members outside the bucket's commonest component
-are compared with those of other components. A pair left out therefore already lies in one component,
-and no component is missed that a candidate pair would join.
+are compared with those of other components, in small buckets as pairs and in large ones in blocks of whole sets. A pair
+left out therefore already lies in one component, and no component is missed that a candidate pair would join.
 
 With 40 bands of 5 registers a pair of similarity 0.8 shares no band with a chance of 1.3e-7.
 
@@ -21,6 +21,7 @@ that share a key are classed each by its own text; equal sets are one component.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from .common import drop, fresh, table, written
 from .textbytes import BASE, Words, buffer, grams, inside, mix, slices
 
 MANTISSA = 10
+#: Buckets above SMALL members are compared in blocks of BLOCK sets; neither leaves any pair out.
+SMALL, BLOCK = 32, 128
 #: Two unlike minima share leading zeros and mantissa with this chance over 2**MANTISSA, for sets of equal size.
 CHANCE = 0.16991948715
 
@@ -139,6 +142,37 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_arrays([b.column("x").filter(ok), b.column("y").filter(ok)], names=["x", "y"])
 
 
+def _bits(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), -(-len(universe) // 64) * 8), np.uint8)
+    for r, s in enumerate(sets):
+        at = np.searchsorted(universe, s)
+        at = at[universe[np.minimum(at, len(universe) - 1)] == s]
+        row = np.zeros(len(universe), bool)
+        row[at] = True
+        packed = np.packbits(row)
+        out[r, : len(packed)] = packed
+    return out.view(np.uint64)
+
+
+def _compared(p: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each outer set, one link to each other component among the rest, by exact overlaps as bit counts."""
+    xs, ys = [], []
+    outer, rest = p[p["outer"]], p[~p["outer"]]
+    if len(outer) and len(rest):
+        a, b = ([np.frombuffer(x, np.uint64) for x in d["set"]] for d in (outer, rest))
+        universe = np.unique(np.concatenate(a))
+        bits_a, bits_b = _bits(a, universe), _bits(b, universe)
+        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ids, comps = rest["id"].to_numpy(), rest["c"].to_numpy()
+        for row, n, i, c in zip(bits_a, na, outer["id"], outer["c"]):
+            both = np.bitwise_count(bits_b & row).sum(axis=1).astype(np.int64)
+            hit = np.flatnonzero((100 * both >= percent * (nb + n - both)) & (comps != c))
+            for h in hit[np.unique(comps[hit], return_index=True)[1]]:
+                xs.append(min(i, ids[h]))
+                ys.append(max(i, ids[h]))
+    return pd.DataFrame({"x": np.array(xs, np.int64), "y": np.array(ys, np.int64)})
+
+
 def components(edges: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """(id, component): for each node of the edges (x, y) the least node that it reaches.
 
@@ -189,6 +223,28 @@ class _Search:
         drop(self.spark, sets_at)
         return out
 
+    def blocks(self, left: DataFrame) -> DataFrame:
+        """Links between components within the large buckets (key, id, c, main), each bucket a part of its main component's cluster.
+
+        Every member outside the main component is compared with every member of the cluster on whole sets, in blocks of about
+        `BLOCK` by `BLOCK` sets, so a task's memory doesn't grow with the cluster; a member gives at most one link for
+        each component.
+        """
+        percent, k = self.percent, self.k
+        rows = left.groupBy(F.col("main").alias("cluster"), "id", "c").agg(F.lit(1).alias("_")).drop("_")
+        size = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"), F.ceil(F.sum((F.col("c") != F.col("cluster")).cast("int")) / BLOCK).alias("out"))
+        rows, at = written(rows.join(size, "cluster"), f"{self.name}-clusters")
+        if not rows.limit(1).count():
+            return rows.select(F.col("id").alias("x"), F.col("id").alias("y"))
+        sets, sets_at = written(self.docs.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), f"{self.name}-sets")
+        i, j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("out")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("all"))
+        out = rows.filter("c <> cluster").select("cluster", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "id", "c", F.lit(True).alias("outer"))
+        in_ = rows.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("i"), j.alias("j"), "id", "c", F.lit(False).alias("outer"))
+        pairs = out.unionByName(in_).join(sets, "id").groupBy("cluster", "i", "j").applyInPandas(lambda p: _compared(p, percent), "x long, y long")
+        links, _ = written(pairs.distinct(), f"{self.name}-links")
+        drop(self.spark, sets_at)
+        return links
+
     def label(self, df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
         own = labels.select(F.col("id").alias(node), F.col("component").alias(name))
         return df.join(own, node, "left").withColumn(name, F.coalesce(name, node))
@@ -216,17 +272,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = s.label(s.label(found.join(best, ["x", "y"], "left_anti"), labels, "x", "cx"), labels, "y", "cy").filter("cx <> cy").select("x", "y")
     more = s.verify(apart)
     labels = components(links.union(more), spark, name)
-    # Buckets that still hold several components: members outside the commonest against those of other components.
+    # Buckets that still hold several components. In small ones members outside the commonest component meet those of
+    # others as pairs; in large ones they are compared in blocks, which give links and no candidate rows.
     member = s.label(s.buckets.select("key", "id"), labels, "id", "c")
     sizes = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("size", -F.col("c"))).alias("main")).filter("parts > 1").select("key", "main")
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max_by("c", F.struct("size", -F.col("c"))).alias("main")).filter("parts > 1").select("key", "members", "main")
     left, left_at = written(member.join(mixed, "key"), f"{name}-mixed")
-    minor = left.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    other = left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    few = left.filter(F.col("members") <= SMALL)
+    minor = few.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
+    other = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
     cross = minor.join(other, "key").filter("ca <> cb").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     last, last_at = written(s.estimated(cross).join(found.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
-    if last.limit(1).count():
-        labels = components(links.union(more).union(s.verify(last.select("x", "y"))), spark, name)
+    rest = s.verify(last.select("x", "y")).unionByName(s.blocks(left.filter(F.col("members") > SMALL)))
+    if rest.limit(1).count():
+        labels = components(links.union(more).union(rest), spark, name)
+    drop(spark, left_at, last_at, found_at)
     class_of = reps.select(*same, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
     out = facts.select("id", "th", *same).join(class_of, same, "left")
     whole = F.col("id").isNotNull() & (F.col("n") > 0)
