@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("near_dedup", "packing", "quality_rules", "substring_dedup", "token_output")
+_MODULES = ("near_dedup", "warc", "fingerprints", "packing", "license_scan", "html_text", "piece_tokens", "substring_dedup", "quality_rules", "token_output")
 
 
 def queries() -> dict:
