@@ -152,8 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None
     def run(batches):
         p = Packer(tokenizer, width, sentence, hard, reach, flush)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for block, key, ids in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), encoded(texts, tokenizer, None if end < 0 else end)):
+            for block, key, ids in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), encoded(b, "text", tokenizer, None if end < 0 else end)):
                 if len(ids):
                     yield from p.add(block, key, ids)
         if p.keys:

@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int | None
         done = []
         for b in batches:
             ids = b.column(0).to_pylist()
-            for key, e in zip(ids, encoded(b.column(1).to_pylist(), tokenizer, end_id)):
+            for key, e in zip(ids, encoded(b, "text", tokenizer, end_id)):
                 if shard and (shard.total + len(e) > shard_tokens or len(shard.keys) >= shard_docs) and key != shard.keys[-1]:
                     done.append(shard.close())
                     shard = None

@@ -106,10 +106,144 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+_SEPS = np.zeros(256, bool)
+_SEPS[[10, 32]] = True
+_ODD_SPACE = np.zeros(256, bool)
+_ODD_SPACE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in _SIGNS]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_KINDS = np.array([0x0, 0x9E6C63D0876A9A47, 0x3C79AC492BA7B653], np.uint64)
+
+
+class _Table:
+    """Open-addressing table in arrays: word hash, first bytes, where its ids begin in the pool and how many they are."""
+
+    def __init__(self, bits: int = 21):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hash, self.head = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.begin, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Slot of each word, -1 where it isn't there."""
+        out, todo = np.full(len(h), -1), np.arange(len(h))
+        at = (h & self.mask).astype(np.int64)
+        while len(todo):
+            have = self.hash[at]
+            hit = (have == h[todo]) & (self.head[at] == head[todo])
+            out[todo[hit]] = at[hit]
+            on = ~hit & (have != 0)
+            todo, at = todo[on], (at[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, h: np.ndarray, head: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct new words."""
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        begin = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        self.used, self.count = self.used + len(flat), self.count + len(h)
+        todo, at = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.hash[at] == 0)
+            self.hash[at[free]] = h[todo[free]]
+            self.head[at[free]] = head[todo[free]]
+            mine = (self.hash[at] == h[todo]) & (self.head[at] == head[todo])
+            self.begin[at[mine]], self.size[at[mine]] = begin[todo[mine]], sizes[todo[mine]]
+            todo, at = todo[~mine], (at[~mine] + 1) & int(self.mask)
+
+
+class ColumnEncoder(Encoder):
+    """The same ids for whole Arrow columns: words are found in the raw bytes and looked up as arrays; only new ones are strings."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.table = _Table()
+        self.line = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def _new(self, words: list[str], kinds: list[int]) -> list[bytes]:
+        """Ids of new words: 0 as they are, 1 after a space, 2 after a line break."""
+        out: list[bytes] = [b""] * len(words)
+        spaced = [i for i, (w, k) in enumerate(zip(words, kinds)) if k == 1 and w.isalpha()]
+        for i, b in zip(spaced, self._spaced([words[i] for i in spaced])):
+            out[i] = b
+        rest = [i for i, b in enumerate(out) if not b and not (kinds[i] == 1 and words[i].isalpha())]
+        for i, b in zip(rest, self._each([" " + words[i] if kinds[i] == 1 else words[i] for i in rest])):
+            out[i] = self.line + b if kinds[i] == 2 else b
+        return out
+
+    def column(self, raw: np.ndarray, off: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text raw[off[i]:off[i+1]], followed by `end`."""
+        from .textbytes import Words, mix, spans_hash
+
+        n = len(off) - 1
+        pad = np.concatenate((raw, np.zeros(16, np.uint8)))
+        w = Words(raw, off, _SEPS)
+        start, stop, counts = w.start, w.end, w.counts()
+        # Texts with other white space, or with a separator at an edge or next to another, go to the library by parts.
+        bad = np.zeros(n, bool)
+        two, three = pad[1:-15], pad[2:-14]
+        odd = _ODD_SPACE[raw] | ((raw == 0xC2) & ((two[: len(raw)] == 0x85) | (two[: len(raw)] == 0xA0)))
+        wide = np.flatnonzero((raw >= 0xE1) & (raw <= 0xE3))
+        if len(wide):
+            a, b, c = raw[wide], pad[wide + 1], pad[wide + 2]
+            odd[wide[((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]] = True
+        bad[np.searchsorted(off, np.flatnonzero(odd), "right") - 1] = True
+        seps = np.concatenate(([0], np.cumsum(_SEPS[raw], dtype=np.int64)))
+        bad |= (seps[off[1:]] - seps[off[:-1]]) != np.maximum(counts - 1, 0)
+        # A word that ends in signs after an ASCII or Latin letter or a digit is two pre-tokens.
+        core = stop.copy()
+        for _ in range(4):
+            core = np.where((core - 1 > start) & _SIGN[raw[core - 1]], core - 1, core) if len(core) else core
+        last, before = (raw[core - 1], raw[np.maximum(core - 2, 0)]) if len(core) else (raw[:0], raw[:0])
+        whole = ~(_ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (core - 2 >= start))) if len(core) else np.zeros(0, bool)
+        core[whole] = stop[whole]
+        kind = np.where(raw[np.maximum(start - 1, 0)] == 10, 2, 1) if len(start) else start
+        kind[w.bounds[:-1][counts > 0]] = 0
+        tail = (core < stop).astype(np.int64)
+        at = np.arange(len(start)) + np.concatenate(([0], np.cumsum(tail)[:-1])).astype(np.int64) if len(start) else start
+        total = len(start) + int(tail.sum())
+        a, z, k = np.empty(total, np.int64), np.empty(total, np.int64), np.zeros(total, np.int64)
+        a[at], z[at], k[at] = start, core, kind
+        more = np.flatnonzero(tail)
+        a[at[more] + 1], z[at[more] + 1] = core[more], stop[more]
+        h = mix(spans_hash(raw, a, z) ^ _KINDS[k]) | np.uint64(1)
+        eight = np.ndarray((len(raw) + 1,), "<u8", pad.data, 0, (1,))
+        size = np.minimum(z - a, 8).astype(np.uint64)
+        head = eight[a] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * size)) if total else h
+        t = self.table
+        if t.count > 1 << 20:
+            self.table = t = _Table()
+        slot = t.find(h, head)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            _, one = np.unique(h[miss] ^ (head[miss] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            new = miss[one]
+            data = raw.tobytes()
+            words = b"\n".join([data[x:y] for x, y in zip(a[new].tolist(), z[new].tolist())]).decode().split("\n")
+            t.add(h[new], head[new], self._new(words, k[new].tolist()))
+            slot[miss] = t.find(h[miss], head[miss])
+        sizes = t.size[slot].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = t.pool[np.repeat(t.begin[slot] - ends[:-1], sizes) + np.arange(ends[-1])] if total else np.zeros(0, np.uint32)
+        unit = np.concatenate((at, [total]))[w.bounds]
+        out = [np.concatenate((ids[x:y], end)) for x, y in zip(ends[unit[:-1]].tolist(), ends[unit[1:]].tolist())]
+        slow = np.flatnonzero(bad).tolist()
+        if slow:
+            data = raw.tobytes()
+            for i, b in zip(slow, self.encode([data[off[i] : off[i + 1]].decode() for i in slow])):
+                out[i] = np.concatenate((np.frombuffer(b, np.uint32), end))
+        return out
+
+
+def encoder(path: str) -> ColumnEncoder:
     """One encoder a process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = ColumnEncoder(path)
     return _encoders[path]
 
 
@@ -126,10 +260,11 @@ def groups(texts: list[str], most: int = 1 << 21):
         yield run
 
 
-def encoded(texts: list[str], path: str, end_id: int | None):
-    """One uint32 array for each text, with the end id where one is given."""
+def encoded(batch, text: str, path: str, end_id: int | None):
+    """One uint32 array for each row of an Arrow batch, with the end id where one is given."""
+    from .textbytes import buffer, slices
+
     enc = encoder(path)
-    tail = b"" if end_id is None else array("I", [end_id]).tobytes()
-    for run in groups(texts):
-        for b in enc.encode(run):
-            yield np.frombuffer(b + tail, np.uint32)
+    end = np.array([] if end_id is None else [end_id], np.uint32)
+    for part in slices(batch, text, 4 << 20):
+        yield from enc.column(*buffer(part.column(part.schema.get_field_index(text))), end)
