@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base, consistency_queries, graph_queries, incremental_queries, lookup_queries, mapping_queries, mining_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The largest consistent set of nations for each customer."""
+    return base.QUERIES["conjoint_customer_region"](spark, sf_dir)
