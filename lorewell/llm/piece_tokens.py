@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import key_value, table, written
+from .textbytes import slices
 
 FAN = 64
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -80,21 +81,41 @@ def encode_bpe(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     return key_value(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+_FACTS = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+
+
+def _facts(sp, keys: pa.Array, ids: list[list[int]], was: list[str]) -> pa.RecordBatch:
+    texts = sp.decode(ids) if ids else []
+    crc = [zlib.crc32(array("I", x).tobytes()) for x in ids]
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([t == w for t, w in zip(texts, was)], pa.bool_())],
+        names=[x.split()[0] for x in _FACTS.split(", ")],
+    )
+
+
 def decoded(encoded: DataFrame, model_file: str) -> DataFrame:
-    """Facts of each encoded row: n_pieces, ids_crc32, sha256 of the decoded text and whether it is the text again."""
+    """Facts of each encoded row (doc_id, ids, text): n_pieces, ids_crc32, sha256 of the decoded text, whether it is the text again."""
 
     def run(batches):
         sp = processor(model_file)
-        for b in batches:
-            ids = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
-            texts = sp.decode([x.tolist() for x in ids]) if ids else []
-            was = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([t == w for t, w in zip(texts, was)], pa.bool_())],
-                names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"],
-            )
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                yield _facts(sp, b.column(0), [np.frombuffer(x, np.uint32).tolist() for x in b.column(1).to_pylist()], b.column(2).to_pylist())
+
+    return encoded.mapInArrow(run, _FACTS)
+
+
+def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The facts of decoded(encode_bpe(docs)) in one pass of one Python worker, a megabyte of text at a time."""
+
+    def run(batches):
+        sp = processor(model_file)
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                texts = b.column(1).to_pylist()
+                yield _facts(sp, b.column(0), encode_texts(sp, texts), texts)
 
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return key_value(docs, id_col, text_col).mapInArrow(run, _FACTS)
 
 
 class Unigram:
@@ -210,7 +231,7 @@ def op7_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return decoded(encode_bpe(table(spark, sf_dir, "documents"), model), model)
+    return encode_decode(table(spark, sf_dir, "documents"), model)
 
 
 QUERIES = {"op7_piece_tokens": op7_piece_tokens}
