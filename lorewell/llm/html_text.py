@@ -149,7 +149,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_name: str = "tex
     """pages without the HTML column, with the main text and its length in code points; new names get underscores if taken."""
     rest = [c for c in pages.columns if c != html_col]
     (row,) = fresh(pages, "row")
-    df = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias(row), F.col(f"`{html_col}`").cast("string").alias("page"))
+    df = pages.select(F.struct(F.lit(0).alias(fresh(pages, "pad")[0]), *[F.col(f"`{c}`") for c in rest]).alias(row), F.col(f"`{html_col}`").cast("string").alias("page"))
     from pyspark.sql import types as T
 
     def run(batches):

@@ -167,7 +167,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that are kept, all columns, without their boilerplate lines."""
     facts, _ = written(quality_facts(docs, id_col, text_col, **rules).filter("kept").select("id", "th", "removed_lines").distinct(), "quality-kept")
     row, th, nid = fresh(docs, "row", "th", "nid")
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias(row), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1 - (1 << 62))).alias(nid), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias(th))
+    rows = docs.select(F.struct(F.lit(0).alias(fresh(docs, "pad")[0]), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias(row), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1 - (1 << 62))).alias(nid), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias(th))
     facts = facts.select(F.coalesce("id", F.lit(-1 - (1 << 62))).alias(nid), F.col("th").alias(th), "removed_lines")
     joined = rows.join(facts, [nid, th]).select(F.col(row).alias("row"), "text", "removed_lines")
     from pyspark.sql import types as T

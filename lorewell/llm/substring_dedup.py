@@ -161,7 +161,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks, _ = written(places.join(copies, ["id", "th"], "full_outer"), "window-marks")
     drop(spark, copies_at)
     rest = [c for c in docs.columns if c != text_col]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row")
+    row = F.struct(F.lit(0).alias(fresh(docs, "pad")[0]), *[F.col(f"`{c}`") for c in rest]).alias("row")
     rows = docs.select(id_, F.col(f"`{text_col}`").cast("string").alias("text"), row).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(marks, ["id", "th"], "left").select("row", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ats")
     kind = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[T.StructField("text", T.StringType())] * texts])
