@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 #: Shuffle files of a write go when it ends; Arrow batches of texts stay small.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextlib.contextmanager

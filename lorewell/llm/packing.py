@@ -138,7 +138,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 32, block_docs: int = 1024, flush: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 32, block_docs: int = 1024, flush: int = 1 << 20) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The texts are shuffled once, by block. A task holds one run of at most `flush` ids and a document. Sequence ids ascend

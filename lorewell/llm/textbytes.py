@@ -143,7 +143,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - k)], x[w - k :]) if w > k else x
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """The batch in parts of about `most` bytes of text at least one row each, so that temporaries stay bounded."""
     col = batch.column(batch.schema.get_field_index(text))
     n = batch.num_rows

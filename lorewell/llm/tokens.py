@@ -266,5 +266,5 @@ def encoded(batch, text: str, path: str, end_id: int | None):
 
     enc = encoder(path)
     end = np.array([] if end_id is None else [end_id], np.uint32)
-    for part in slices(batch, text, 4 << 20):
+    for part in slices(batch, text, 2 << 20):
         yield from enc.column(*buffer(part.column(part.schema.get_field_index(text))), end)
