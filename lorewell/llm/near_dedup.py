@@ -213,14 +213,16 @@ class _Search:
         m = self.m
         return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(lambda it: _estimated(it, m), "x long, y long, est double").filter(F.col("est") >= low)
 
+    def gather(self, ids: DataFrame) -> None:
+        """Writes the whole sets of the given ids, those that most comparisons need: the texts are shuffled once for them."""
+        k = self.k
+        self.sets, self.sets_at = written(self.docs.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), f"{self.name}-sets")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that pass on their whole sets."""
-        k, percent = self.k, self.percent
-        nodes = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        sets, sets_at = written(self.docs.join(nodes, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), f"{self.name}-sets")
-        px, py = sets.select(F.col("id").alias("x"), F.col("set").alias("px")), sets.select(F.col("id").alias("y"), F.col("set").alias("py"))
+        """Those of the pairs of gathered ids that pass on their whole sets."""
+        percent = self.percent
+        px, py = self.sets.select(F.col("id").alias("x"), F.col("set").alias("px")), self.sets.select(F.col("id").alias("y"), F.col("set").alias("py"))
         out, _ = written(pairs.select("x", "y").join(px, "x").join(py, "y").mapInArrow(lambda it: _verified(it, percent), "x long, y long"), f"{self.name}-links")
-        drop(self.spark, sets_at)
         return out
 
     def blocks(self, left: DataFrame) -> DataFrame:
@@ -230,19 +232,18 @@ class _Search:
         `BLOCK` by `BLOCK` sets, so a task's memory doesn't grow with the cluster; a member gives at most one link for
         each component.
         """
-        percent, k = self.percent, self.k
+        percent = self.percent
         rows = left.groupBy(F.col("main").alias("cluster"), "id", "c").agg(F.lit(1).alias("_")).drop("_")
         size = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"), F.ceil(F.sum((F.col("c") != F.col("cluster")).cast("int")) / BLOCK).alias("out"))
         rows, at = written(rows.join(size, "cluster"), f"{self.name}-clusters")
         if not rows.limit(1).count():
             return rows.select(F.col("id").alias("x"), F.col("id").alias("y"))
-        sets, sets_at = written(self.docs.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), f"{self.name}-sets")
         i, j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("out")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("all"))
         out = rows.filter("c <> cluster").select("cluster", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "id", "c", F.lit(True).alias("outer"))
         in_ = rows.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("i"), j.alias("j"), "id", "c", F.lit(False).alias("outer"))
-        pairs = out.unionByName(in_).join(sets, "id").groupBy("cluster", "i", "j").applyInPandas(lambda p: _compared(p, percent), "x long, y long")
+        pairs = out.unionByName(in_).join(self.sets, "id").groupBy("cluster", "i", "j").applyInPandas(lambda p: _compared(p, percent), "x long, y long")
         links, _ = written(pairs.distinct(), f"{self.name}-links")
-        drop(self.spark, sets_at)
+        drop(self.spark, at)
         return links
 
     def label(self, df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -262,9 +263,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts, facts_at = written(kv.mapInArrow(lambda it: _sketches(it, k, m), "id long, th long, n long, d1 long, d2 long, sketch binary"), f"{name}-sketches")
     same = ["n", "d1", "d2"]
     reps, reps_at = written(facts.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), f"{name}-classes")
+    facts, slim_at = written(facts.drop("sketch"), f"{name}-facts")
+    drop(spark, facts_at)
     s = _Search(kv, reps, k, bands, rows, percent, margin, name)
     star = s.buckets.filter("x < id").select("x", F.col("id").alias("y")).distinct()
     found, found_at = written(s.estimated(star), f"{name}-pairs")
+    # Whole sets of the pairs' documents and of those in large buckets.
+    crowded = s.buckets.join(s.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SMALL).select("key"), "key").select("id")
+    s.gather(found.select(F.col("x").alias("id")).union(found.select("y")).union(crowded))
     # First the likest centre of each document; after that only pairs that still lie in two components.
     best = found.groupBy("y").agg(F.max_by("x", F.struct("est", -F.col("x"))).alias("x")).select("x", "y")
     links = s.verify(best)
@@ -283,7 +289,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
     cross = minor.join(other, "key").filter("ca <> cb").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     last, last_at = written(s.estimated(cross).join(found.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
-    rest = s.verify(last.select("x", "y")).unionByName(s.blocks(left.filter(F.col("members") > SMALL)))
+    rest = s.blocks(left.filter(F.col("members") > SMALL))
+    drop(spark, s.sets_at)
+    if last.limit(1).count():
+        s.gather(last.select(F.col("x").alias("id")).union(last.select("y")))
+        rest = rest.unionByName(s.verify(last))
+        drop(spark, s.sets_at)
     if rest.limit(1).count():
         labels = components(links.union(more).union(rest), spark, name)
     drop(spark, left_at, last_at, found_at)
