@@ -45,7 +45,8 @@ def _digests(batches, width: int, anchor: int):
             h, n = w.hash, w.counts()
             place = np.arange(len(h), dtype=np.uint64) - np.repeat(w.bounds[:-1], n).astype(np.uint64)
             keyed = mix(h + place * np.uint64(0x9E3779B97F4A7C15))
-            pre1, pre2 = np.concatenate(([0], np.cumsum(keyed))).astype(np.uint64), np.concatenate(([0], np.cumsum(mix(keyed ^ np.uint64(0x5851F42D4C957F2D))))).astype(np.uint64)
+            none = np.zeros(1, np.uint64)
+            pre1, pre2 = np.concatenate((none, np.cumsum(keyed))), np.concatenate((none, np.cumsum(mix(keyed ^ np.uint64(0x5851F42D4C957F2D)))))
             d1, d2 = (p[w.bounds[1:]] - p[w.bounds[:-1]] for p in (pre1, pre2))
             pos, txt = inside(w.bounds, width, len(h))
             if len(pos):
