@@ -34,6 +34,8 @@ from .common import drop, fresh, table, written
 from .textbytes import Words, buffer, grams, inside, mix, slices, sliding_min
 
 _LAST = (1 << 63) - 1
+#: Share of all windows, as one in so many, from which a hash is joined by broadcast.
+HOT = 2048
 
 
 def _digests(batches, width: int, anchor: int):
@@ -136,6 +138,20 @@ def _cut(text: bytes, gone: np.ndarray, start: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
+def _with_first(wins: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Windows (id, th, h, at) whose hash repeats, with the first key `lo` that has it.
+
+    A hash of more than one in `HOT` of all windows would send its rows to one task. There are fewer than `HOT` such hashes, whatever
+    the input, so they are broadcast; their windows then go by a key of their own each, spread over all tasks, and the others by hash.
+    """
+    least = wins.count() // HOT
+    hot = repeats.filter(F.col("n") > least).select("h", F.col("lo").alias("hot_lo"))
+    cold = repeats.filter(F.col("n") <= least).select(F.col("h").alias("key"), "lo")
+    marked = wins.join(F.broadcast(hot), "h", "left")
+    marked = marked.withColumn("key", F.when(F.col("hot_lo").isNull(), F.col("h")).otherwise(F.xxhash64("h", "id", "at")))
+    return marked.join(cold, "key", "left").select("id", "th", "h", "at", F.coalesce("hot_lo", "lo").alias("lo"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 25, texts: bool = True) -> DataFrame:
     """docs with each text replaced by what is left of it (without `texts`: no text column), and n_words, n_removed, kept_sha256.
 
@@ -156,8 +172,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed, listed_at = written(alone.join(shared, "a").groupBy("id", "th").agg(F.collect_set("a").alias("shared")), "window-shared")
     wins, wins_at = written(kv.join(listed, ["id", "th"]).select("id", "text", "shared", "th").mapInArrow(lambda it: _windows(it, width, anchor), "id long, th long, h long, at int"), "windows")
     drop(spark, facts_at, listed_at)
-    repeats = wins.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "lo")
-    places, _ = written(wins.join(repeats, "h").filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
+    repeats = wins.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "lo", "n")
+    places, _ = written(_with_first(wins, repeats).filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
     drop(spark, wins_at)
     marks, _ = written(places.join(copies, ["id", "th"], "full_outer"), "window-marks")
     drop(spark, copies_at)

@@ -117,9 +117,12 @@ def removed(data):
     return sorted(out, key=repr)
 
 
-def test_substring_dedup(spark, docs, empty):
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_substring_dedup(spark, docs, empty, hot, monkeypatch):
+    from lorewell.llm import substring_dedup as module
     from lorewell.llm.substring_dedup import substring_dedup
 
+    monkeypatch.setattr(module, "HOT", hot)  # windows join by shuffle, or all by broadcast
     out = substring_dedup(docs)
     new = [c for c in out.columns if c not in docs.columns]
     assert out.columns[: len(docs.columns)] == docs.columns and len(new) == 3
