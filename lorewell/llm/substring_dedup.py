@@ -34,7 +34,7 @@ from .common import drop, fresh, table, written
 from .textbytes import Words, buffer, grams, inside, mix, slices, sliding_min
 
 _LAST = (1 << 63) - 1
-#: Share of all windows, as one in so many, from which a hash is joined by broadcast.
+#: Share of all rows, as one in so many, above which a key is joined by broadcast.
 HOT = 2048
 
 
@@ -138,18 +138,19 @@ def _cut(text: bytes, gone: np.ndarray, start: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _with_first(wins: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Windows (id, th, h, at) whose hash repeats, with the first key `lo` that has it.
+def _with_first(rows: DataFrame, repeats: DataFrame, *key: str) -> DataFrame:
+    """Rows with `lo`, the first id of their key where it is among the repeated keys (…, lo, n), else null.
 
-    A hash of more than one in `HOT` of all windows would send its rows to one task. There are fewer than `HOT` such hashes, whatever
-    the input, so they are broadcast; their windows then go by a key of their own each, spread over all tasks, and the others by hash.
+    A key of more than one in `HOT` of all rows would send them to one task. There are fewer than `HOT` such keys, whatever the
+    input, so they are broadcast; their rows then go by a key of their own each, spread over all tasks, and the others by key.
     """
-    least = wins.count() // HOT
-    hot = repeats.filter(F.col("n") > least).select("h", F.col("lo").alias("hot_lo"))
-    cold = repeats.filter(F.col("n") <= least).select(F.col("h").alias("key"), "lo")
-    marked = wins.join(F.broadcast(hot), "h", "left")
-    marked = marked.withColumn("key", F.when(F.col("hot_lo").isNull(), F.col("h")).otherwise(F.xxhash64("h", "id", "at")))
-    return marked.join(cold, "key", "left").select("id", "th", "h", "at", F.coalesce("hot_lo", "lo").alias("lo"))
+    least = rows.count() // HOT
+    first, rest = key[0], list(key[1:])
+    hot = repeats.filter(F.col("n") > least).select(*key, F.col("lo").alias("hot_lo"))
+    cold = repeats.filter(F.col("n") <= least).select(F.col(first).alias("key"), *rest, "lo")
+    marked = rows.join(F.broadcast(hot), list(key), "left")
+    marked = marked.withColumn("key", F.when(F.col("hot_lo").isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns)))
+    return marked.join(cold, ["key", *rest], "left").select(*rows.columns, F.coalesce("hot_lo", "lo").alias("lo"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 25, texts: bool = True) -> DataFrame:
@@ -165,15 +166,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kv = docs.select(id_, text).withColumn("th", F.xxhash64("text"))
     facts, facts_at = written(kv.mapInArrow(lambda it: _digests(it, width, anchor), "id long, th long, d1 long, d2 long, n_words long, anchors array<long>"), "window-anchors")
     same, long_ = ["d1", "d2", "n_words"], facts.filter(F.col("n_words") >= width)
-    firsts = long_.groupBy(*same).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(*same, "lo")
-    copies, copies_at = written(long_.join(firsts, same).filter("id > lo").select("id", "th", F.lit(True).alias("copy")).distinct(), "window-copies")
+    firsts = long_.groupBy(*same).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select(*same, "lo", "n")
+    copies, copies_at = written(_with_first(long_.select("id", "th", *same), firsts, *same).filter("id > lo").select("id", "th", F.lit(True).alias("copy")).distinct(), "window-copies")
     alone = facts.filter(F.size("anchors") > 0).join(copies, ["id", "th"], "left_anti").select("id", "th", F.explode("anchors").alias("a"))
     shared = alone.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("a")
     listed, listed_at = written(alone.join(shared, "a").groupBy("id", "th").agg(F.collect_set("a").alias("shared")), "window-shared")
     wins, wins_at = written(kv.join(listed, ["id", "th"]).select("id", "text", "shared", "th").mapInArrow(lambda it: _windows(it, width, anchor), "id long, th long, h long, at int"), "windows")
     drop(spark, facts_at, listed_at)
     repeats = wins.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "lo", "n")
-    places, _ = written(_with_first(wins, repeats).filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
+    places, _ = written(_with_first(wins, repeats, "h").filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
     drop(spark, wins_at)
     marks, _ = written(places.join(copies, ["id", "th"], "full_outer"), "window-marks")
     drop(spark, copies_at)
