@@ -38,15 +38,27 @@ def module_weights(spark, d):
     return best.groupBy("subject", "region").agg(r6(consistency.module_weight(F.lit(1 / 3), mining_w)).alias("module_weight"))
 
 
-@query("consistency_solver", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s WHERE subject <= 300")
-def consistency_solver(spark, d):
-    """The general search on the flagship's problem: each vote a column of its own; it must find the closed form's weight."""
-    norm = weights.normalise_max(_votes(spark, d), ["subject"]).filter("subject <= 300")
+def _solved(spark, d, norm):
     queues = norm.select(F.col("subject").alias("module"), F.col("target").alias("queue"), F.lit(None).cast("string").alias("parent"), F.col("target").alias("assertion"), "weight")
+    return consistency.solve(consistency.grid(queues), _apart(spark, d)).select("module", r6("weight").alias("weight"))
+
+
+def _apart(spark, d):
     regions = _regions(spark, d)
     a, b = regions.toDF("a", "ra"), regions.toDF("b", "rb")
-    disjoint = a.join(b, (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
-    return consistency.solve(consistency.grid(queues), disjoint).select("module", r6("weight").alias("weight"))
+    return a.join(b, (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
+
+
+@query("consistency_solver", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s WHERE subject <= 300")
+def consistency_solver(spark, d):
+    """The general search on the flagship's problem, for the subjects that its SQL names; consistency_solver_all has every subject."""
+    return _solved(spark, d, weights.normalise_max(_votes(spark, d), ["subject"]).filter("subject <= 300"))
+
+
+@query("consistency_solver_all", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s")
+def consistency_solver_all(spark, d):
+    """The general search for every subject: each vote a column of its own; it must find the closed form's weight."""
+    return _solved(spark, d, weights.normalise_max(_votes(spark, d), ["subject"]))
 
 
 @query("assertion_grid", f"WITH {_NORM} SELECT subject AS module, dense_rank() OVER (PARTITION BY subject ORDER BY target) - 1 AS x, 0 AS y, target AS assertion, round(weight, 6) AS weight FROM norm")
