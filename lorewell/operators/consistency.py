@@ -171,18 +171,20 @@ def keep_latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
 
 
-def accept(candidates: DataFrame, disjoint: DataFrame, rounds: int = 16) -> DataFrame:
-    """(subject, assertion, weight): rounds that accept each subject's heaviest assertion still consistent with those accepted."""
+def accept(candidates: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """(subject, assertion, weight): rounds that accept each subject's heaviest assertion still consistent with those accepted, until none is left."""
     left, out = written(candidates.select("subject", "assertion", "weight"), "open"), None
     both = disjoint.union(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("assertion", "other")
-    for _ in range(rounds):
+    while True:
         best = written(weights.first(left, ["subject"], "assertion"), "accepted")
-        if not best.limit(1).count():
-            break
+        if best.isEmpty():
+            return left if out is None else out
         out = best if out is None else out.unionByName(best)
+        taken = best.select(F.col("subject").alias("_s"), F.col("assertion").alias("_a"))
         clash = best.join(both, "assertion").select("subject", F.col("other").alias("assertion"))
-        left = written(left.join(best.select("subject", "assertion"), ["subject", "assertion"], "left_anti").join(clash, ["subject", "assertion"], "left_anti"), "open")
-    return out if out is not None else left
+        # A null among the keys leaves too, or the rounds would never end.
+        rest = left.join(taken, F.col("subject").eqNullSafe(F.col("_s")) & F.col("assertion").eqNullSafe(F.col("_a")), "left_anti")
+        left = written(rest.join(clash, ["subject", "assertion"], "left_anti"), "open")
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -70,11 +70,8 @@ def assertion_grid(spark, d):
 @query("accept_assertions", None)
 def accept_assertions(spark, d):
     """Rounds of acceptance under regions' disjointness."""
-    norm = weights.normalise_max(_votes(spark, d), ["subject"]).filter("subject % 10 = 0")
-    regions = _regions(spark, d)
-    a, b = regions.toDF("a", "ra"), regions.toDF("b", "rb")
-    disjoint = a.join(b, (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
-    return tidy(consistency.accept(norm.select("subject", F.col("target").alias("assertion"), "weight"), disjoint), "weight")
+    norm = weights.normalise_max(_votes(spark, d), ["subject"])
+    return tidy(consistency.accept(norm.select("subject", F.col("target").alias("assertion"), "weight"), _apart(spark, d)), "weight")
 
 
 _PART = "rel(id, relation, weight) AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'likes' ELSE 'buys' END, 1.0 FROM orders UNION ALL SELECT o_orderkey, 'knows', 0.5 FROM orders), arg AS (SELECT DISTINCT l_orderkey AS id, p_type AS arg, 0.5 AS weight FROM lineitem JOIN part ON l_partkey = p_partkey)"
