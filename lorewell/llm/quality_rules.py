@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency (operator 9).
 
 Base figures come from each text alone. The cross-document rule hashes every normalised line (ASCII lower
-case, digits alike, white space as one space), counts the distinct texts of its host (the source column) that hold it,
-and removes a line that more than max(`least`, `share` x the host's texts) hold, but for the document of the
-least key that has it. Adjacent frequent lines of more than `passage` words together are a shared passage or a
-copied text, not boilerplate; they are left to the near-duplicate and substring operators. A document is
+case, digits alike, white space as one space), counts the documents of its host (the source column) that hold it,
+and removes a line that more than max(`least`, `share` x the host's documents) hold, but from the document of the
+least key that has it. On a host of few documents `least` falls to `half` of them, but not below `fewest`. A line that
+only copies of one text hold is no boilerplate, however many they are; it is left to the near-duplicate operator. A document is
 depleted, and rejected, when lines went and fewer than `rest_words` words or `rest_share` of its words are left.
 
 Null texts and texts without words have all figures 0 and fail the base rule. Null hosts are one host. Rows that share a key
@@ -96,7 +96,7 @@ def _SPACE(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def _verdict(batches, passage: int, rest_words: int, rest_share: float):
+def _verdict(batches, rest_words: int, rest_share: float):
     """(…, line_hash, line_words, line_no, frequent) to (…, n_removed_words, removed_lines, depleted)."""
     for b in batches:
         words, lines, gone = b.column("n_words").to_pylist(), list(zip(b.column("line_hash").to_pylist(), b.column("line_words").to_pylist(), b.column("line_no").to_pylist())), b.column("frequent").to_pylist()
@@ -104,15 +104,11 @@ def _verdict(batches, passage: int, rest_words: int, rest_share: float):
         for n, (hs, ws, ls), often in zip(words, lines, gone):
             out, total = [], 0
             if often:
-                often, run = set(often), []
-                for h, c, no in [*zip(hs, ws, ls), (None, 0, 0)]:
+                often = set(often)
+                for h, c, no in zip(hs, ws, ls):
                     if h in often:
-                        run.append((c, no))
-                        continue
-                    if run and (size := sum(c for c, _ in run)) <= passage:
-                        total += size
-                        out += [no for _, no in run]
-                    run = []
+                        total += c
+                        out.append(no)
             left = n - total
             n_gone.append(total)
             numbers.append(out)
@@ -121,26 +117,27 @@ def _verdict(batches, passage: int, rest_words: int, rest_share: float):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n_gone, pa.int64()), pa.array(numbers, pa.list_(pa.int32())), pa.array(depleted, pa.bool_())], names=["id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "removed_lines", "depleted"])
 
 
-def quality_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", window: int = 5, min_words: int = 10, repeat_percent: int = 20, least: int = 50, share: float = 0.01, passage: int = 50, rest_words: int = 10, rest_share: float = 0.3) -> DataFrame:
+def quality_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", window: int = 5, min_words: int = 10, repeat_percent: int = 20, least: int = 50, share: float = 0.01, half: float = 0.5, fewest: int = 2, rest_words: int = 10, rest_share: float = 0.3) -> DataFrame:
     """One row for each row of docs: id, th (text hash), base figures, base_failed, n_removed_words, removed_lines, kept."""
     spark = docs.sparkSession
     host = F.col(f"`{host_col}`").cast("string") if host_col and host_col in docs.columns else F.lit(None).cast("string")
     kv = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.coalesce(host, F.lit("")).alias("host"))
     kv = kv.select("id", "text", F.xxhash64("text").alias("th"), "host")
     facts, _ = written(kv.mapInArrow(lambda it: _facts(it, window), _FACTS), "quality-facts")
-    hosts = facts.groupBy("host", "th").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    hosts = facts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = facts.select("id", "th", "host", F.explode(F.array_distinct("line_hash")).alias("line"))
-    # Copies of a text count once; both steps combine before their shuffle, so one hot line or host spreads.
-    texts = lines.groupBy("host", "line", "th").agg(F.min("id").alias("first"))
-    often = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).filter(F.col("n") > least)
-    often = often.join(hosts, "host").filter(F.col("n") > F.col("texts") * share).select("host", "line", "first")
+    # Both steps combine before their shuffle, so one hot line or host spreads.
+    texts = lines.groupBy("host", "line", "th").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    often = texts.groupBy("host", "line").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).filter((F.col("texts") > 1) & (F.col("n") > min(fewest, least)))
+    limit = F.greatest(F.least(F.lit(least), F.greatest(F.lit(fewest), F.col("docs") * half)), F.col("docs") * share)
+    often = often.join(hosts, "host").filter(F.col("n") > limit).select("host", "line", "first")
     # (host, line) of the frequent lines: they join the lines table, and only theirs are gathered for a document.
     found = lines.join(often, ["host", "line"]).filter(F.coalesce(F.col("id") > F.col("first"), F.lit(True)))
     found, _ = written(found.groupBy("id", "th").agg(F.collect_set("line").alias("frequent")), "quality-lines")
     facts = facts.withColumn("id_", F.coalesce("id", F.lit(-1 - (1 << 62))))
     found = found.select(F.coalesce("id", F.lit(-1 - (1 << 62))).alias("id_"), "th", "frequent")
     joined = facts.join(found, ["id_", "th"], "left").select("id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words", "line_no", "frequent")
-    out = joined.mapInArrow(lambda it: _verdict(it, passage, rest_words, rest_share), "id long, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_words long, removed_lines array<int>, depleted boolean")
+    out = joined.mapInArrow(lambda it: _verdict(it, rest_words, rest_share), "id long, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_words long, removed_lines array<int>, depleted boolean")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("depleted"))
 
