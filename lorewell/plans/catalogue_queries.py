@@ -97,7 +97,20 @@ _WANT = "w AS (SELECT c_custkey AS pattern, 'isa' AS pred, CASE WHEN c_custkey %
 
 @query("edge_by_args", f"WITH {EDGES}, {_WANT}, f AS (SELECT pattern, min(e.arg1 || '>' || e.arg2) AS edge FROM w JOIN edges e ON e.pred = w.pred AND (w.arg1 IS NULL OR w.arg1 = e.arg1) AND (w.arg2 IS NULL OR w.arg2 = e.arg2) GROUP BY pattern HAVING count(*) = 1) SELECT w.pattern, edge FROM w LEFT JOIN f ON f.pattern = w.pattern")
 def edge_by_args(spark, d):
-    c = views.table(spark, d, "customer").filter("c_custkey <= 60").join(views.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """The patterns that its SQL names; edge_by_args_all has every customer's."""
+    return _edges_by_args(spark, d, views.table(spark, d, "customer").filter("c_custkey <= 60"))
+
+
+_WANT_ALL = "w AS (SELECT c_custkey AS pattern, 'isa' AS pred, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS arg1, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS arg2 FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query("edge_by_args_all", f"WITH {EDGES}, {_WANT_ALL}, f AS (SELECT pattern, min(e.arg1 || '>' || e.arg2) AS edge FROM w JOIN edges e ON e.pred = w.pred AND (w.arg1 IS NULL OR w.arg1 = e.arg1) AND (w.arg2 IS NULL OR w.arg2 = e.arg2) GROUP BY pattern HAVING count(*) = 1) SELECT w.pattern, edge FROM w LEFT JOIN f ON f.pattern = w.pattern")
+def edge_by_args_all(spark, d):
+    return _edges_by_args(spark, d, views.table(spark, d, "customer"))
+
+
+def _edges_by_args(spark, d, customers):
+    c = customers.join(views.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     want = c.select(F.col("c_custkey").alias("pattern"), F.lit("isa").alias("pred"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("arg1"), F.when(F.col("c_custkey") % 3 == 0, F.col("n_name")).alias("arg2"))
     return catalogue.edge_by_args(want, views.edges(spark, d).withColumn("edge", F.concat("arg1", F.lit(">"), "arg2")))
 
