@@ -81,11 +81,15 @@ def relatedness(links: DataFrame) -> DataFrame:
     return shared.join(na, "a").join(nb, "b").select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("relatedness"))
 
 
-def annotate(texts: DataFrame, labels: DataFrame, most_words: int = 4) -> DataFrame:
-    """(id, at, size, label, target): n-grams of a text that are labels, by an equi-join on the n-gram."""
-    words = texts.select("id", F.split(F.lower(F.trim("text")), r"\s+").alias("w"))
-    at = words.select("id", "w", F.posexplode("w").alias("at", "_"))
-    grams = at.select("id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("at")))).alias("size"), "w")
+def annotate(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, at, size, label, target): n-grams of a text that are labels, by an equi-join on the n-gram.
+
+    Only n-grams of as many words as some label has are made.
+    """
+    sizes = labels.agg(F.collect_set(F.size(F.split("label", " "))).alias("sizes"))
+    words = texts.select("id", F.split(F.lower(F.trim("text")), r"\s+").alias("w")).crossJoin(F.broadcast(sizes))
+    at = words.select("id", "w", "sizes", F.posexplode("w").alias("at", "_"))
+    grams = at.select("id", "at", F.explode(F.filter("sizes", lambda n: n <= F.size("w") - F.col("at"))).alias("size"), "w")
     grams = grams.select("id", "at", "size", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("label"))
     return grams.join(labels.select("label", "target"), "label")
 

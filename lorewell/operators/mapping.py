@@ -140,17 +140,24 @@ def greedy_one_to_one(found: DataFrame, rounds: int | None = None) -> DataFrame:
     return out if out is not None else left
 
 
-def fragments(texts: DataFrame, id_col: str = "id", text_col: str = "text", most: int = 32) -> DataFrame:
-    """(id, level, fragment): all runs of words of a phrase, longer first (level 0 is the whole); runs that repeat are one."""
-    w = texts.select(id_col, F.slice(F.split(F.trim(text_col), r"\s+"), 1, most).alias("w")).filter("w[0] <> ''")
-    at = w.select(id_col, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
-    runs = at.select(id_col, "w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("a") + 1)).alias("n"))
+def fragments(texts: DataFrame, id_col: str = "id", text_col: str = "text", names: DataFrame | None = None) -> DataFrame:
+    """(id, level, fragment): all runs of words of a phrase, longer first (level 0 is the whole); runs that repeat are one.
+
+    With `names` only runs of as many words as some name has, which is all that can be found among them.
+    """
+    w = texts.select(id_col, F.split(F.trim(text_col), r"\s+").alias("w")).filter("w[0] <> ''")
+    if names is None:
+        w = w.withColumn("sizes", F.sequence(F.lit(1), F.size("w")))
+    else:
+        w = w.crossJoin(F.broadcast(names.agg(F.collect_set(F.size(F.split("name", " "))).alias("sizes"))))
+    at = w.select(id_col, "w", "sizes", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
+    runs = at.select(id_col, "w", "a", F.explode(F.filter("sizes", lambda n: n <= F.size("w") - F.col("a") + 1)).alias("n"))
     return runs.select(id_col, (F.size("w") - F.col("n")).alias("level"), F.array_join(F.slice("w", F.col("a"), F.col("n")), " ").alias("fragment")).distinct()
 
 
 def fragment_search(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, fragment, concept): the concepts (name, concept) named by the longest fragments that name any."""
-    found = fragments(texts, id_col, text_col).withColumn("_k", F.lower("fragment")).join(names.select(F.lower("name").alias("_k"), "concept").distinct(), "_k")
+    found = fragments(texts, id_col, text_col, names).withColumn("_k", F.lower("fragment")).join(names.select(F.lower("name").alias("_k"), "concept").distinct(), "_k")
     return weights.best_level(found, [id_col]).select(id_col, "fragment", "concept")
 
 
