@@ -69,7 +69,8 @@ def largest_consistent(cells: Iterable[tuple[int, int, str, float]], disjoint: s
     """(share of the weight, assertions): best-first search over columns, one cell of each or none, all non-disjoint.
 
     A case is extended column by column; its potential is what it has plus the best cell of each column still open, over the
-    total, so the first complete case taken is the best. Ties go to earlier columns' heavier cells.
+    total, so the first complete case taken is the best. Ties go to earlier columns' heavier cells. Of cases that leave the same
+    later assertions open only the first taken, the heaviest, goes on.
     """
     import heapq
 
@@ -81,27 +82,59 @@ def largest_consistent(cells: Iterable[tuple[int, int, str, float]], disjoint: s
     rest = [0.0] * (len(order) + 1)
     for i in range(len(order) - 1, -1, -1):
         rest[i] = rest[i + 1] + order[i][0][0]
-    apart = lambda a, b: a != b and ((a, b) if a < b else (b, a)) in disjoint
-    known = tuple(truths)
-    heap: list[tuple[float, int, int, float, tuple[str, ...]]] = [(-rest[0], 0, 0, 0.0, ())]
-    count = 0
+    after: list[set[str]] = [set() for _ in range(len(order) + 1)]
+    for i in range(len(order) - 1, -1, -1):
+        after[i] = after[i + 1] | {a for _, a in order[i]}
+    apart: dict[str, set[str]] = {}
+    for a, b in disjoint:
+        if a < b:
+            apart.setdefault(a, set()).add(b)
+            apart.setdefault(b, set()).add(a)
+    shut = frozenset(set().union(*(apart.get(t, ()) for t in truths)) & after[0])
+    heap: list[tuple[float, int, int, float, tuple[str, ...], frozenset]] = [(-rest[0], 0, 0, 0.0, (), shut)]
+    count, seen = 0, set()
     while heap:
-        _, _, i, done, chosen = heapq.heappop(heap)
+        _, _, i, done, chosen, shut = heapq.heappop(heap)
         if i == len(order):
             return done / total, list(chosen)
+        if (i, shut) in seen:
+            continue
+        seen.add((i, shut))
         for w, a in [*order[i], (0.0, "")]:
-            if a and any(apart(a, b) for b in (*chosen, *known)):
+            if a in shut:
                 continue
             count += 1
-            heapq.heappush(heap, (-(done + w + rest[i + 1]), count, i + 1, done + w, (*chosen, a) if a else chosen))
+            heapq.heappush(heap, (-(done + w + rest[i + 1]), count, i + 1, done + w, (*chosen, a) if a else chosen, frozenset((shut | apart.get(a, set())) & after[i + 1])))
     return 0.0, []
 
 
-def solve(cells: DataFrame, disjoint: DataFrame, truths: DataFrame | None = None, most: int = 64) -> DataFrame:
+def components(cells: Iterable[tuple[int, int, str, float]], disjoint: set[tuple[str, str]]) -> list[list[tuple[int, int, str, float]]]:
+    """Cells in groups of columns between which no assertions are disjoint, so that each group can be searched alone."""
+    root: dict = {}
+
+    def top(k):
+        while root.setdefault(k, k) != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    cells = sorted(cells)
+    have = {a for _, _, a, _ in cells}
+    for x, _, a, _ in cells:
+        root[top(("cell", a))] = top(("column", x))
+    for a, b in disjoint:
+        if a in have and b in have:
+            root[top(("cell", a))] = top(("cell", b))
+    out: dict = {}
+    for c in cells:
+        out.setdefault(top(("column", c[0])), []).append(c)
+    return list(out.values())
+
+
+def solve(cells: DataFrame, disjoint: DataFrame, truths: DataFrame | None = None) -> DataFrame:
     """(module, weight, assertions): the largest consistent set of each module's grid.
 
     The disjoint pairs that a module needs, those between its own assertions, travel with it as a column, so nothing grows
-    with the ontology in a task. Columns beyond `most` of a module are settled one by one by weight instead of searched.
+    with the ontology in a task. All columns are searched, groups of columns that no disjoint pair joins each alone.
     """
     terms = cells.select("module", F.col("assertion").alias("t")).distinct()
     if truths is not None:
@@ -118,14 +151,15 @@ def solve(cells: DataFrame, disjoint: DataFrame, truths: DataFrame | None = None
             for cs, ps, ts in zip(p["cells"], p["pairs"], p["truths"]):
                 dis = {(r["a"], r["b"]) for r in ps} if ps is not None else set()
                 got = [(r["x"], r["y"], r["assertion"], r["weight"]) for r in cs]
-                xs = sorted({c[0] for c in got}, key=lambda x: (-max(c[3] for c in got if c[0] == x), x))
                 base = list(ts) if ts is not None else []
-                w, chosen = largest_consistent([c for c in got if c[0] in set(xs[:most])], dis, base)
-                for x in xs[most:]:
-                    for c in sorted((c for c in got if c[0] == x), key=lambda c: (-c[3], c[2])):
-                        if not any(((c[2], b) if c[2] < b else (b, c[2])) in dis for b in chosen + base):
-                            chosen.append(c[2])
-                            break
+                done, total, chosen = 0.0, 0.0, []
+                for part in components(got, dis):
+                    best: dict[int, float] = {}
+                    for x, _, _, v in part:
+                        best[x] = max(best.get(x, v), v)
+                    w, more = largest_consistent(part, dis, base)
+                    done, total, chosen = done + w * (sum(best.values()) or 1.0), total + sum(best.values()), chosen + more
+                w = done / (total or 1.0)
                 rows.append((min(w, 1.0), chosen))
             yield pd.DataFrame({"module": p["module"], "weight": [r[0] for r in rows], "assertions": [r[1] for r in rows]})
 

@@ -81,15 +81,25 @@ def context_vote(votes: DataFrame, context: DataFrame, related: DataFrame, most:
     return weights.normalise_max(out, ["source"])
 
 
-def follow_redirects(found: DataFrame, redirects: DataFrame, most: int = 8) -> DataFrame:
-    """Targets at the end of their redirect chain; weights that meet add; targets in a cycle or a longer chain go."""
-    step = redirects.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
-    rows = found.select("source", F.col("target").alias("_at"), "weight")
-    done = rows.join(step, "_at", "left_anti")
-    for _ in range(most):
-        rows = rows.join(step, "_at").select("source", F.col("_to").alias("_at"), "weight")
-        done = done.unionByName(rows.join(step, "_at", "left_anti"))
-    return done.groupBy("source", F.col("_at").alias("target")).agg(F.sum("weight").alias("weight"))
+def follow_redirects(found: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Targets at the end of their redirect chain; weights that meet add; targets in a cycle go.
+
+    A round doubles how far every redirect reaches. A chain has at most as many hops as there are redirects, so what is open beyond that is a cycle.
+    """
+    ends = written(redirects.select("src", "dst"), "redirects")
+    srcs = ends.select(F.col("src").alias("_mid")).distinct()
+    hops, most = 1, srcs.count()
+    while hops < most:
+        more = ends.join(srcs, F.col("dst") == F.col("_mid"), "left_semi")
+        if more.isEmpty():
+            break
+        on = more.select("src", F.col("dst").alias("_mid")).join(ends.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst")
+        ends, hops = written(ends.join(srcs, F.col("dst") == F.col("_mid"), "left_anti").unionByName(on), "redirects"), 2 * hops
+    ends = ends.join(srcs, F.col("dst") == F.col("_mid"), "left_anti")
+    rows = found.select("source", "target", "weight")
+    plain = rows.join(srcs, F.col("target") == F.col("_mid"), "left_anti")
+    moved = rows.join(ends, F.col("target") == F.col("src")).select("source", F.col("dst").alias("target"), "weight")
+    return plain.unionByName(moved).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
 def expand_disambiguations(found: DataFrame, pages: DataFrame, items: DataFrame) -> DataFrame:
