@@ -139,7 +139,9 @@ class _Table:
         return out
 
     def add(self, h: np.ndarray, head: np.ndarray, ids: list[bytes]) -> None:
-        """Distinct new words."""
+        """Distinct new words; the table grows so that at least half of its slots stay free."""
+        if 2 * (self.count + len(h)) > len(self.hash):
+            self._grow(self.count + len(h))
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         flat = np.frombuffer(b"".join(ids), np.uint32)
         if self.used + len(flat) > len(self.pool):
@@ -147,6 +149,18 @@ class _Table:
         self.pool[self.used : self.used + len(flat)] = flat
         begin = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
         self.used, self.count = self.used + len(flat), self.count + len(h)
+        self._place(h, head, begin, sizes)
+
+    def _grow(self, words: int) -> None:
+        old = np.flatnonzero(self.hash)
+        rows = self.hash[old], self.head[old], self.begin[old], self.size[old]
+        bits = (2 * words - 1).bit_length()
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hash, self.head = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.begin, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self._place(*rows)
+
+    def _place(self, h: np.ndarray, head: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
         todo, at = np.arange(len(h)), (h & self.mask).astype(np.int64)
         while len(todo):
             free = np.flatnonzero(self.hash[at] == 0)
