@@ -86,3 +86,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def key_value(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The key as long `id` and the text (null: empty) as string `text`, whatever else df has."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+#: Share of all rows, as one in so many, above which a key counts as hot. Fewer than HOT keys can have more than that.
+HOT = 2048
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: list[str], total: int, weight: str = "n") -> DataFrame:
+    """rows left joined with `few`, which has at most one row a key and says in `weight` how many of all `total` rows have it.
+
+    A key of more than one in `HOT` of all rows would send them to one task. There are fewer than `HOT` such keys, whatever the
+    input, so they are broadcast; their rows then go by a key of their own each, spread over all tasks, and the others by key.
+    """
+    least, first, rest = total // HOT, key[0], key[1:]
+    values = [c for c in few.columns if c not in key and c != weight]
+    to, mark = fresh(rows, "spread_to", "spread_hot")
+    hot = few.filter(F.col(weight) > least).select(*key, F.lit(True).alias(mark), *[F.col(v).alias(f"hot_{v}") for v in values])
+    cold = few.filter(F.col(weight) <= least).select(F.col(first).alias(to), *rest, *values)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn(to, F.when(F.col(mark).isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns)))
+    return marked.join(cold, [to, *rest], "left").select(*rows.columns, *[F.when(F.col(mark), F.col(f"hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])

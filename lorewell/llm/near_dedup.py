@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, table, written
+from .common import drop, fresh, spread_join, table, written
 from .textbytes import BASE, Words, buffer, grams, inside, mix, slices
 
 MANTISSA = 10
-#: Buckets above SMALL members are compared in blocks of BLOCK sets; neither leaves any pair out.
-SMALL, BLOCK = 32, 128
+#: Buckets above SMALL members are compared in blocks of BLOCK sets or BLOCK_WORDS shingles; neither leaves any pair out.
+SMALL, BLOCK, BLOCK_WORDS = 32, 128, 1 << 21
 #: Two unlike minima share leading zeros and mantissa with this chance over 2**MANTISSA, for sets of equal size.
 CHANCE = 0.16991948715
 
@@ -100,7 +100,9 @@ def _sketches(batches, k: int, m: int):
             sizes = np.where(n > 0, 2 * m, 0)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             col = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(sketch)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), col], names=["id", "th", "n", "d1", "d2", "sketch"])
+            raw = memoryview(value.tobytes())
+            sets = pa.array([raw[8 * begin[i] : 8 * begin[i + 1]] for i in range(b.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), col, sets], names=["id", "th", "n", "d1", "d2", "sketch", "set"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -120,15 +122,6 @@ def _estimated(batches, m: int):
         yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(estimate(*sk, nx, ny))], names=["x", "y", "est"])
 
 
-def _sets(batches, k: int):
-    """(id, set): the distinct shingle hashes, ascending, as raw 64-bit values."""
-    for batch in batches:
-        for b in slices(batch, "text"):
-            value, begin = shingle_sets(*buffer(b.column(1)), k)
-            raw = memoryview(value.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[8 * begin[i] : 8 * begin[i + 1]] for i in range(b.num_rows)], pa.large_binary())], names=["id", "set"])
-
-
 def _verified(batches, percent: int):
     for b in batches:
         ok = []
@@ -176,80 +169,111 @@ def _compared(p: pd.DataFrame, percent: int) -> pd.DataFrame:
 def components(edges: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """(id, component): for each node of the edges (x, y) the least node that it reaches.
 
-    Each round every node takes the least label of its neighbours and then its label's label; rounds end when no label
-    changes. Both steps are joins and aggregates of written tables.
+    Each round every node goes to its least neighbour, if less than itself, and from there to that one's; edges between two
+    groups are all that the next round sees, so the table of edges shrinks, and rounds end when it is empty. The rounds'
+    maps are then joined from the last to the first.
     """
-    both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    both, edges_at = written(both, f"{name}-edges")
-    labels, at = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).select(F.col("x").alias("id"), "l"), f"{name}-labels")
+    edges, edges_at = written(edges.select("x", "y").filter("x <> y").distinct(), f"{name}-edges")
+    if not edges.limit(1).count():
+        return edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
+    maps: list[tuple[DataFrame, str]] = []
     while True:
-        near = both.join(labels.select(F.col("id").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("near"))
-        step = labels.join(near.withColumnRenamed("x", "id"), "id").select("id", "l", F.least("l", "near").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("l").alias("far"))
-        new, new_at = written(step.join(jump, "to", "left").select("id", F.least("to", F.coalesce("far", "to")).alias("l"), (F.least("to", F.coalesce("far", "to")) < F.col("l")).alias("changed")), f"{name}-labels")
+        both = edges.union(edges.select("y", "x"))
+        up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
+        far = up.select(F.col("x").alias("p"), F.col("p").alias("g"))
+        maps.append(written(up.join(far, "p").select(F.col("x").alias("id"), F.col("g").alias("to")), f"{name}-map"))
+        own = maps[-1][0]
+        moved = edges.join(own.select(F.col("id").alias("x"), F.col("to").alias("a")), "x").join(own.select(F.col("id").alias("y"), F.col("to").alias("b")), "y")
+        left, left_at = written(moved.filter("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), f"{name}-edges")
+        drop(spark, edges_at)
+        edges, edges_at = left, left_at
+        if not edges.limit(1).count():
+            break
+    out = maps[-1][0]
+    for m, _ in maps[-2::-1]:
+        out = m.join(out.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+    out, _ = written(out.withColumnRenamed("to", "component"), f"{name}-components")
+    drop(spark, edges_at, *[at for _, at in maps])
+    return out
+
+
+def roots(parent: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """(id, component) of a forest (id, p) whose parents are less than their children: each round doubles the step."""
+    own, at = written(parent.select("id", F.col("p").alias("component"), F.lit(True).alias("moved")), f"{name}-roots")
+    while own.filter("moved").limit(1).count():
+        far = own.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        new, new_at = written(own.join(far, "component", "left").select("id", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved")), f"{name}-roots")
         drop(spark, at)
-        labels, at = new.select("id", "l"), new_at
-        if not new.filter("changed").limit(1).count():
-            drop(spark, edges_at)
-            return labels.select("id", F.col("l").alias("component"))
+        own, at = new, new_at
+    return own.drop("moved")
 
 
 class _Search:
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, bands: int, rows: int, percent: int, margin: float, name: str):
-        self.docs, self.reps, self.k, self.m, self.percent, self.margin, self.name = docs, reps, k, bands * rows, percent, margin, name
-        self.spark = docs.sparkSession
+    """Candidates, estimates and comparisons over the class representatives `reps` (id, n, sketch) and `sets` (id, set)."""
+
+    def __init__(self, reps: DataFrame, sets: DataFrame, bands: int, rows: int, percent: int, margin: float, name: str):
+        self.reps, self.sets, self.m, self.percent, self.margin, self.name = reps, sets, bands * rows, percent, margin, name
+        self.spark = reps.sparkSession
         keys = F.array(*[F.xxhash64(F.substring("sketch", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)])
-        buckets = reps.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
-        shared = buckets.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("hi")).filter("x < hi").select("key", "x")
-        self.buckets, _ = written(buckets.join(shared, "key"), f"{name}-buckets")
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (x, y) whose sketches are alike enough to verify, with the estimate."""
-        one = self.reps.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-        two = self.reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-        # A size ratio below the threshold rules a pair out.
-        sized = pairs.join(one, "x").join(two, "y").filter(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
-        low = self.percent / 100 - self.margin
-        m = self.m
+        self.total = reps.count() * bands
+        keyed = reps.select("id", F.explode(keys).alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("x < hi").drop("hi")
+        self.buckets, self.at = written(spread_join(keyed, shared, ["key"], self.total).filter("x is not null"), f"{name}-buckets")
+
+    def stars(self) -> DataFrame:
+        """Pairs (x, y) of each bucket's least member and another, with the estimate, where it is high enough to verify."""
+        return self.estimated(self.buckets.filter("x < id").groupBy("id").agg(F.collect_set("x").alias("xs")))
+
+    def estimated(self, centres: DataFrame) -> DataFrame:
+        """Pairs (x, y) that are alike enough to verify, with the estimate; centres holds y as id and every x in xs."""
+        pairs = self.reps.join(centres, "id").select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"), F.explode("xs").alias("x"))
+        # Rows already hold y's sketch, so a centre of very many pairs is a large partition of this join, which adaptive
+        # execution splits. A size ratio below the threshold rules a pair out.
+        one = self.reps.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+        sized = pairs.join(one, "x").filter(100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny"))
+        low, m = self.percent / 100 - self.margin, self.m
         return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(lambda it: _estimated(it, m), "x long, y long, est double").filter(F.col("est") >= low)
 
-    def gather(self, ids: DataFrame) -> None:
-        """Writes the whole sets of the given ids, those that most comparisons need: the texts are shuffled once for them."""
-        k = self.k
-        self.sets, self.sets_at = written(self.docs.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary"), f"{self.name}-sets")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of gathered ids that pass on their whole sets."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) that pass on their whole sets. y's set joins first, so a frequent x splits as above."""
         percent = self.percent
         px, py = self.sets.select(F.col("id").alias("x"), F.col("set").alias("px")), self.sets.select(F.col("id").alias("y"), F.col("set").alias("py"))
-        out, _ = written(pairs.select("x", "y").join(px, "x").join(py, "y").mapInArrow(lambda it: _verified(it, percent), "x long, y long"), f"{self.name}-links")
-        return out
+        return pairs.join(py, "y").join(px, "x").select("x", "y", "px", "py").mapInArrow(lambda it: _verified(it, percent), "x long, y long")
+
+    def mixed(self, labels: DataFrame) -> DataFrame:
+        """(key, id, c, members, main) of the buckets that hold several components; main is the commonest."""
+        member = self.buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        # Both steps combine before their shuffle, so one hot bucket spreads.
+        sizes = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+        split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("n"), F.max_by("c", F.struct("size", -F.col("c"))).alias("main")).filter("parts > 1")
+        split = split.select("key", "n", F.col("n").alias("members"), "main")
+        return spread_join(member, split, ["key"], self.total).filter("main is not null")
 
     def blocks(self, left: DataFrame) -> DataFrame:
-        """Links between components within the large buckets (key, id, c, main), each bucket a part of its main component's cluster.
+        """Links (x, y) between components within the large buckets (key, id, c, main), each bucket a part of its main component's cluster.
 
-        Every member outside the main component is compared with every member of the cluster on whole sets, in blocks of about
-        `BLOCK` by `BLOCK` sets, so a task's memory doesn't grow with the cluster; a member gives at most one link for
-        each component.
+        Every member outside the main component is compared with every member of the cluster on whole sets, in blocks of at most
+        `BLOCK` by `BLOCK` sets and about `BLOCK_WORDS` shingles, so a task's memory grows neither with the cluster nor, beyond one
+        row of blocks, with its texts.
         """
         percent = self.percent
-        rows = left.groupBy(F.col("main").alias("cluster"), "id", "c").agg(F.lit(1).alias("_")).drop("_")
-        size = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"), F.ceil(F.sum((F.col("c") != F.col("cluster")).cast("int")) / BLOCK).alias("out"))
-        rows, at = written(rows.join(size, "cluster"), f"{self.name}-clusters")
+        rows = left.groupBy(F.col("main").alias("cluster"), "id", "c").agg(F.lit(1).alias("_")).drop("_").join(self.reps.select("id", F.col("n").alias("words")), "id")
+        rows, at = written(rows, f"{self.name}-clusters")
         if not rows.limit(1).count():
             return rows.select(F.col("id").alias("x"), F.col("id").alias("y"))
+        fit = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_WORDS)) / F.max("words")))
+        size = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / fit).alias("all"), F.ceil(F.sum((F.col("c") != F.col("cluster")).cast("int")) / fit).alias("out"))
+        rows = rows.join(size, "cluster")
         i, j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("out")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("all"))
-        out = rows.filter("c <> cluster").select("cluster", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "id", "c", F.lit(True).alias("outer"))
-        in_ = rows.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("i"), j.alias("j"), "id", "c", F.lit(False).alias("outer"))
-        pairs = out.unionByName(in_).join(self.sets, "id").groupBy("cluster", "i", "j").applyInPandas(lambda p: _compared(p, percent), "x long, y long")
-        links, _ = written(pairs.distinct(), f"{self.name}-links")
+        # Sets join before the rows are repeated: once for each member of a cluster.
+        rows = rows.select("cluster", "id", "c", "all", "out", i.alias("i"), j.alias("j")).join(self.sets, "id")
+        spots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda v: F.struct(v.alias("i"), F.col("j").alias("j"), F.lit(False).alias("outer")))
+        own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda v: F.struct(F.col("i").alias("i"), v.alias("j"), F.lit(True).alias("outer")))
+        dealt = rows.select("cluster", "id", "c", "set", F.explode(F.when(F.col("c") != F.col("cluster"), F.concat(spots, own)).otherwise(spots)).alias("s")).select("cluster", "s.*", "id", "c", "set")
+        links, _ = written(dealt.groupBy("cluster", "i", "j").applyInPandas(lambda p: _compared(p, percent), "x long, y long").distinct(), f"{self.name}-links")
         drop(self.spark, at)
         return links
 
-    def label(self, df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-        own = labels.select(F.col("id").alias(node), F.col("component").alias(name))
-        return df.join(own, node, "left").withColumn(name, F.coalesce(name, node))
-
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, margin: float = 0.15) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, class_id (the least id with an equal set), th (text hash).
@@ -259,49 +283,38 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, m = docs.sparkSession, bands * rows
     kv = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kv = kv.withColumn("th", F.xxhash64("text"))
-    name = "near"
-    facts, facts_at = written(kv.mapInArrow(lambda it: _sketches(it, k, m), "id long, th long, n long, d1 long, d2 long, sketch binary"), f"{name}-sketches")
-    same = ["n", "d1", "d2"]
-    reps, reps_at = written(facts.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), f"{name}-classes")
-    facts, slim_at = written(facts.drop("sketch"), f"{name}-facts")
-    drop(spark, facts_at)
-    s = _Search(kv, reps, k, bands, rows, percent, margin, name)
-    star = s.buckets.filter("x < id").select("x", F.col("id").alias("y")).distinct()
-    found, found_at = written(s.estimated(star), f"{name}-pairs")
-    # Whole sets of the pairs' documents and of those in large buckets.
-    crowded = s.buckets.join(s.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SMALL).select("key"), "key").select("id")
-    s.gather(found.select(F.col("x").alias("id")).union(found.select("y")).union(crowded))
-    # First the likest centre of each document; after that only pairs that still lie in two components.
+    name, same = "near", ["n", "d1", "d2"]
+    facts, facts_at = written(kv.mapInArrow(lambda it: _sketches(it, k, m), "id long, th long, n long, d1 long, d2 long, sketch binary, set binary"), f"{name}-sketches")
+    whole = facts.filter("n > 0 and id is not null")
+    reps, reps_at = written(whole.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), f"{name}-classes")
+    s = _Search(reps, whole.select("id", "set"), bands, rows, percent, margin, name)
+    found, found_at = written(s.stars(), f"{name}-pairs")
+    # First the likest centre of each document: the links that pass are a forest, as a centre's id is less than its documents'.
     best = found.groupBy("y").agg(F.max_by("x", F.struct("est", -F.col("x"))).alias("x")).select("x", "y")
-    links = s.verify(best)
-    labels = components(links, spark, name)
-    apart = s.label(s.label(found.join(best, ["x", "y"], "left_anti"), labels, "x", "cx"), labels, "y", "cy").filter("cx <> cy").select("x", "y")
-    more = s.verify(apart)
-    labels = components(links.union(more), spark, name)
-    # Buckets that still hold several components. In small ones members outside the commonest component meet those of
+    trees = s.verified(best).select(F.col("y").alias("id"), F.col("x").alias("p"))
+    labels = roots(trees, spark, name)
+    # After that only pairs that still lie in two components count: a document's other centres, and pairs within buckets
+    # that hold several components. In small ones members outside the commonest component meet those of
     # others as pairs; in large ones they are compared in blocks, which give links and no candidate rows.
-    member = s.label(s.buckets.select("key", "id"), labels, "id", "c")
-    sizes = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max_by("c", F.struct("size", -F.col("c"))).alias("main")).filter("parts > 1").select("key", "members", "main")
-    left, left_at = written(member.join(mixed, "key"), f"{name}-mixed")
+    left, left_at = written(s.mixed(labels), f"{name}-mixed")
     few = left.filter(F.col("members") <= SMALL)
     minor = few.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
     other = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    cross = minor.join(other, "key").filter("ca <> cb").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    last, last_at = written(s.estimated(cross).join(found.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
-    rest = s.blocks(left.filter(F.col("members") > SMALL))
-    drop(spark, s.sets_at)
-    if last.limit(1).count():
-        s.gather(last.select(F.col("x").alias("id")).union(last.select("y")))
-        rest = rest.unionByName(s.verify(last))
-        drop(spark, s.sets_at)
-    if rest.limit(1).count():
-        labels = components(links.union(more).union(rest), spark, name)
-    drop(spark, left_at, last_at, found_at)
-    class_of = reps.select(*same, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "rep", F.coalesce("component", "rep").alias("component"))
-    out = facts.select("id", "th", *same).join(class_of, same, "left")
-    whole = F.col("id").isNotNull() & (F.col("n") > 0)
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(whole, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.when(whole, F.col("rep")).otherwise(F.col("id")).alias("class_id"), "th")
+    # Small buckets bound how many partners a document has here.
+    cross = minor.join(other, "key").filter("ca <> cb").groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_set(F.least("a", "b")).alias("xs"))
+    own = [labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "xy"]
+    away = found.select("x", "y").join(own[1], "y", "left").join(own[0], "x", "left").filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
+    more, more_at = written(s.verified(s.estimated(cross).select("x", "y").union(away)), f"{name}-links")
+    large = s.blocks(left.filter(F.col("members") > SMALL))
+    links = more.union(large).join(own[1], "y", "left").join(own[0], "x", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    up = components(links, spark, name)
+    drop(spark, found_at, left_at, more_at, s.at)
+    class_of = reps.select(*same, "id", "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    class_of = class_of.join(up.select(F.col("id").alias("component"), F.col("component").alias("end")), "component", "left")
+    class_of = class_of.select(*same, F.col("id").alias("rep"), F.coalesce("end", "component").alias("component"), F.col("copies").alias("n_rows"))
+    out = spread_join(facts.select("id", "th", *same), class_of, same, reps.agg(F.sum("copies")).first()[0] or 0, "n_rows")
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.col("rep")).otherwise(F.col("id")).alias("class_id"), "th")
 
 
 def near_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
