@@ -106,3 +106,18 @@ def spread_join(rows: DataFrame, few: DataFrame, key: list[str], total: int, wei
     marked = rows.join(F.broadcast(hot), key, "left")
     marked = marked.withColumn(to, F.when(F.col(mark).isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns)))
     return marked.join(cold, [to, *rest], "left").select(*rows.columns, *[F.when(F.col(mark), F.col(f"hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
+
+
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that name a file each, one to a task: adaptive execution would merge them, as it counts the bytes of names."""
+    return rows.repartitionByRange(max(rows.count(), 1), key)
+
+
+def ordered(kv: DataFrame, prefix: int = 256) -> DataFrame:
+    """(id, text) in ranges that ascend with the partition, nulls first, then by text; the rows of one key may span ranges.
+
+    Only rows that share their key and the first `prefix` characters stay in one range.
+    """
+    (head,) = fresh(kv, "head")
+    key = F.col("id").asc_nulls_first()
+    return kv.withColumn(head, F.substring("text", 1, prefix)).repartitionByRange(key, F.col(head)).drop(head).sortWithinPartitions(key, "text")

@@ -1,7 +1,8 @@
 """Removal of passages that also start in an earlier document (operator 8).
 
-A window is `width` consecutive words; its Rabin-Karp hash is 64 bits wide. A word goes if a window over
-it has a hash that also occurs in a document of a smaller key. Repeated windows that touch or overlap merge into
+A window is `width` consecutive words, known by two Rabin-Karp hashes of 64 bits, whose word hashes and mixing are independent:
+two unlike windows among 1e13 share both with a chance below 1e-12. A word goes if a window over
+it also occurs in a document of a smaller key. Repeated windows that touch or overlap merge into
 maximal intervals.
 
 Most windows occur once, so only those that can repeat are counted as rows. Of the hashes of the
@@ -16,7 +17,8 @@ that least hash occurs in two documents. Leaving the others out loses nothing:
 4. places join their document, merge into intervals, and the words in them are cut out.
 
 Null texts and texts without words have no windows and lose nothing. Documents with a null key take part as if
-theirs were the greatest. Rows of equal key are one document each but never earlier than each other.
+theirs were the greatest. Rows of equal key are one document each but never earlier than each other. A text of any length is
+one row; only its hashes, a few times its size, are held at once, and a word in several repeated windows goes once.
 Empty tables give empty results.
 """
 
@@ -30,13 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, fresh, table, written
-from .textbytes import Words, buffer, grams, inside, mix, slices, sliding_min
+from .common import drop, fresh, spread_join, table, written
+from .textbytes import Words, buffer, grams, inside, mix, slices, sliding_min, spans_hash
 
 _LAST = (1 << 63) - 1
-#: Share of all rows, as one in so many, above which a key is joined by broadcast.
-HOT = 2048
-
+_OTHER = np.random.Generator(np.random.PCG64(52711)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 def _digests(batches, width: int, anchor: int):
     """(id, d1, d2, n_words, anchors): a digest of the word sequence, and the distinct least hashes."""
@@ -65,6 +65,11 @@ def _digests(batches, width: int, anchor: int):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int64)), anchors], names=["id", "th", "d1", "d2", "n_words", "anchors"])
 
 
+def second(w: Words) -> np.ndarray:
+    """Word hashes from other random values for the bytes than Words.hash has."""
+    return mix(spans_hash(w.raw, w.start, w.end, _OTHER) ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def _windows(batches, width: int, anchor: int):
     """(id, h, at) of the windows whose least hash is among the document's shared ones."""
     for batch in batches:
@@ -82,7 +87,7 @@ def _windows(batches, width: int, anchor: int):
             salt = mix(np.arange(b.num_rows, dtype=np.uint64))
             keep = np.isin(least ^ salt[txt], flat ^ np.repeat(salt, lens))
             pos, txt = pos[keep], txt[keep]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(txt)), b.column(3).take(pa.array(txt)), pa.array(grams(h, width)[pos].view(np.int64)), pa.array((pos - w.bounds[txt]).astype(np.int32))], names=["id", "th", "h", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(txt)), b.column(3).take(pa.array(txt)), pa.array(grams(h, width)[pos].view(np.int64)), pa.array(grams(second(w), width)[pos].view(np.int64)), pa.array((pos - w.bounds[txt]).astype(np.int32))], names=["id", "th", "h", "g", "at"])
 
 
 def _intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +143,6 @@ def _cut(text: bytes, gone: np.ndarray, start: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _with_first(rows: DataFrame, repeats: DataFrame, *key: str) -> DataFrame:
-    """Rows with `lo`, the first id of their key where it is among the repeated keys (…, lo, n), else null.
-
-    A key of more than one in `HOT` of all rows would send them to one task. There are fewer than `HOT` such keys, whatever the
-    input, so they are broadcast; their rows then go by a key of their own each, spread over all tasks, and the others by key.
-    """
-    least = rows.count() // HOT
-    first, rest = key[0], list(key[1:])
-    hot = repeats.filter(F.col("n") > least).select(*key, F.col("lo").alias("hot_lo"))
-    cold = repeats.filter(F.col("n") <= least).select(F.col(first).alias("key"), *rest, "lo")
-    marked = rows.join(F.broadcast(hot), list(key), "left")
-    marked = marked.withColumn("key", F.when(F.col("hot_lo").isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns)))
-    return marked.join(cold, ["key", *rest], "left").select(*rows.columns, F.coalesce("hot_lo", "lo").alias("lo"))
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 25, texts: bool = True) -> DataFrame:
     """docs with each text replaced by what is left of it (without `texts`: no text column), and n_words, n_removed, kept_sha256.
 
@@ -167,17 +157,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts, facts_at = written(kv.mapInArrow(lambda it: _digests(it, width, anchor), "id long, th long, d1 long, d2 long, n_words long, anchors array<long>"), "window-anchors")
     same, long_ = ["d1", "d2", "n_words"], facts.filter(F.col("n_words") >= width)
     firsts = long_.groupBy(*same).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select(*same, "lo", "n")
-    copies, copies_at = written(_with_first(long_.select("id", "th", *same), firsts, *same).filter("id > lo").select("id", "th", F.lit(True).alias("copy")).distinct(), "window-copies")
+    n_long = long_.count()
+    copies, copies_at = written(spread_join(long_.select("id", "th", *same), firsts, same, n_long).filter("id > lo").select("id", "th", F.lit(True).alias("copy")).distinct(), "window-copies")
     alone = facts.filter(F.size("anchors") > 0).join(copies, ["id", "th"], "left_anti").select("id", "th", F.explode("anchors").alias("a"))
-    shared = alone.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("a")
-    listed, listed_at = written(alone.join(shared, "a").groupBy("id", "th").agg(F.collect_set("a").alias("shared")), "window-shared")
-    wins, wins_at = written(kv.join(listed, ["id", "th"]).select("id", "text", "shared", "th").mapInArrow(lambda it: _windows(it, width, anchor), "id long, th long, h long, at int"), "windows")
+    shared = alone.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("a", "lo", "n")
+    n_anchors = facts.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    listed, listed_at = written(spread_join(alone, shared, ["a"], n_anchors).filter("lo is not null").groupBy("id", "th").agg(F.collect_set("a").alias("shared")), "window-shared")
+    wins, wins_at = written(kv.join(listed, ["id", "th"]).select("id", "text", "shared", "th").mapInArrow(lambda it: _windows(it, width, anchor), "id long, th long, h long, g long, at int"), "windows")
     drop(spark, facts_at, listed_at)
-    repeats = wins.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "lo", "n")
-    places, _ = written(_with_first(wins, repeats, "h").filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
+    repeats = wins.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "g", "lo", "n")
+    places, places_at = written(spread_join(wins, repeats, ["h", "g"], wins.count()).filter("id > lo").groupBy("id", "th").agg(F.collect_set("at").alias("ats")), "window-places")
     drop(spark, wins_at)
     marks, _ = written(places.join(copies, ["id", "th"], "full_outer"), "window-marks")
-    drop(spark, copies_at)
+    drop(spark, copies_at, places_at)
     rest = [c for c in docs.columns if c != text_col]
     row = F.struct(F.lit(0).alias(fresh(docs, "pad")[0]), *[F.col(f"`{c}`") for c in rest]).alias("row")
     rows = docs.select(id_, F.col(f"`{text_col}`").cast("string").alias("text"), row).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
