@@ -7,7 +7,8 @@ holds a 32-bit fingerprint of the key, offset, length and how many documents sha
 manifest table lists the shards with their first and last key and the ids before each.
 
 Null keys sort first and count as one key; repeated keys keep all their documents, next to each other, ordered by
-text; null and empty texts give the end id alone; an empty table gives no shards.
+text, over as many shards as they need; null and empty texts give the end id alone; an empty table gives no shards. A
+text of any length is encoded in runs and its ids are held once. Columns beside key and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import key_value, shared_path, table
+from .common import key_value, one_each, ordered, shared_path, table
 from .tokens import encoded, encoder
 
 MAGIC = 0x31485044494B5401
@@ -177,7 +178,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int | None
         for b in batches:
             ids = b.column(0).to_pylist()
             for key, e in zip(ids, encoded(b, "text", tokenizer, end_id)):
-                if shard and (shard.total + len(e) > shard_tokens or len(shard.keys) >= shard_docs) and key != shard.keys[-1]:
+                if shard and (shard.total + len(e) > shard_tokens or len(shard.keys) >= shard_docs):
                     done.append(shard.close())
                     shard = None
                 if shard is None:
@@ -189,7 +190,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int | None
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "path", "width", "n_docs", "n_tokens", "first_key", "last_key"])
 
     kv = key_value(docs, id_col, text_col)
-    man = kv.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(write, _MAN)
+    man = ordered(kv).mapInArrow(write, _MAN)
     man.write.parquet(f"{root}/manifest")
     man = docs.sparkSession.read.schema(man.schema).parquet(f"{root}/manifest")
     # One row a shard: a few bytes for each 2**27 ids.
@@ -220,14 +221,14 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 null = ix["key"] == _NULL
                 yield pa.RecordBatch.from_arrays([pa.array(ix["key"], mask=null), pa.array(ix["offset"].astype(np.int64) + start), pa.array(ix["length"].astype(np.int64)), pa.array(crc), pa.array(ok)], names=["doc_id", "start", "n_tokens", "ids_crc32", "in_index"])
 
-    paths = manifest.select("path", "start").repartition("path")
-    return paths.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, in_index boolean")
+    return one_each(manifest.select("path", "start"), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, in_index boolean")
 
 
 class TokenReader:
-    """Keyed access to written shards: a manifest lookup, one index probe and one ranged read."""
+    """Keyed access to written shards: a manifest lookup, one index probe and one ranged read. `most` indexes stay in memory."""
 
-    def __init__(self, manifest: DataFrame):
+    def __init__(self, manifest: DataFrame, most: int = 64):
+        self.most = most
         self.shards = sorted((r.first_key, r.last_key, r.path) for r in manifest.select("first_key", "last_key", "path").toLocalIterator())
         self.firsts = [s[0] for s in self.shards]
         self._index: dict[str, dict] = {}
@@ -239,6 +240,8 @@ class TokenReader:
         while i >= 0 and self.shards[i][1] >= k:
             path = self.shards[i][2]
             if path not in self._index:
+                if len(self._index) >= self.most:
+                    self._index.pop(next(iter(self._index)))
                 self._index[path] = read_index(path)
             ix = self._index[path]
             slot = int(find(np.array([k], np.int64).view(np.uint64), ix)[0])

@@ -7,7 +7,9 @@ tasks. Reading gives each record's header and, for responses, the payload; revis
 again by digest.
 
 Null payloads are empty; a null key is written without a key header and sorts below all others; a null URL leaves its header
-out. Rows that share key and payload have the same role. An empty table writes no file. Files hold one gzip
+out. Rows that share key and payload have the same role: of repeated rows of the greatest key all are responses. An empty table
+writes no file. A payload of any length is one record, held whole by one task at a time; columns beside the three named ones are
+left out, whatever their names. Files hold one gzip
 member a record and are renamed into place when whole, so lost or repeated tasks leave no partial archive.
 """
 
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, written
+from .common import drop, one_each, shared_path, spread_join, table, written
 from .token_output import _commit, _open
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -103,8 +105,9 @@ def write_archives(pages: DataFrame, root: str, key_col: str = "page_id", url_co
     key, url, html = F.col(f"`{key_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     digest = F.sha1(F.encode(html, "UTF-8"))
     heads = pages.select(F.coalesce(key, F.lit(_NONE)).alias("k"), url.alias("u"), digest.alias("digest"), F.octet_length(html).alias("size"))
-    firsts = heads.filter(F.col("size") >= least).groupBy("digest").agg(F.max("k").alias("original"), F.min("k").alias("lo"), F.max_by("u", "k").alias("ourl")).filter("lo < original")
-    roles = heads.filter(F.col("size") >= least).join(firsts, "digest").filter("k < original").select("k", "digest", "original", "ourl").distinct()
+    large = heads.filter(F.col("size") >= least)
+    firsts = large.groupBy("digest").agg(F.max("k").alias("original"), F.min("k").alias("lo"), F.max_by("u", "k").alias("ourl"), F.count(F.lit(1)).alias("n")).filter("lo < original").drop("lo")
+    roles = spread_join(large.select("k", "digest"), firsts, ["digest"], pages.count()).filter("k < original").distinct()
     rows = pages.select(F.coalesce(key, F.lit(_NONE)).alias("k"), key.alias("key"), url.alias("url"), html.alias("html"), digest.alias("digest"))
     full = rows.join(roles, ["k", "digest"], "left").select("key", "url", F.when(F.col("original").isNull(), F.col("html")).alias("html"), "digest", "original", F.col("original").isNotNull().alias("revisit"), "ourl")
     return full.mapInArrow(lambda it: _write(it, root, date, file_bytes), _FILES)
@@ -169,7 +172,7 @@ def _read(batches, payloads: bool):
 
 def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     """One row a record of the archives in `files.path`: header fields and, for responses, the payload (checked against its digest)."""
-    return files.select("path").repartition("path").mapInArrow(lambda it: _read(it, payloads), _RECORDS)
+    return one_each(files.select("path"), "path").mapInArrow(lambda it: _read(it, payloads), _RECORDS)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -184,8 +187,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = written(write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "archives")), "archive-files")
+    files, at = written(write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "archives")), "archive-files")
     heads, _ = written(read_archives(files, payloads=False), "archive-headers")
+    drop(spark, at)
     return resolve_revisits(heads).select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
