@@ -1,14 +1,16 @@
 """Order-preserving packing of tokenised documents into fixed windows (operator 4).
 
-Documents are taken in ascending key order within blocks of `block_docs` consecutive keys. Over a block's ids, cut
+Documents are taken in ascending key order within ranges of keys, and packed in runs of about `flush` ids. Over a run's ids, cut
 points are the ends of documents, the ends of sentences (a token that ends in . ! ? or a line break) and, where
 those lie more than `reach` ids apart, evenly spaced points in between. The least sum of padding and cut penalties is
 found by dynamic programming: f(j) = penalty(j) + width - p(j) + min over p(i) >= p(j) - width of f(i) + p(i), where a
 monotone queue gives the minimum in constant amortised time. A sequence whose length is a power of two is not padded; the
-transition looks for those of at least a quarter of the width, and a block's rest may be cut into powers of two.
+transition looks for those of at least a quarter of the width, and a run's rest may be cut into powers of two.
 
-Null and empty texts are the end id alone. Null keys are a block of their own; repeated keys are ordered by
-text. An empty table gives no rows. Keys must lie within +-2**47. Every id is in exactly one piece.
+Null and empty texts are the end id alone. Null keys come first; repeated keys are ordered by
+text, and spread over tasks like others. An empty table gives no rows. Every id is in exactly one piece. A very long text is
+one document: its ids are held once, and of cuts that cost the same the earliest queue entry is taken. Columns beside key
+and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import key_value, table
+from .common import key_value, ordered, table
 from .tokens import encoded, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -88,20 +90,19 @@ def sentence_ends(tokenizer: str) -> np.ndarray:
 
 
 class Packer:
-    def __init__(self, tokenizer: str, width: int, sentence: int, hard: int, reach: int, flush: int):
+    def __init__(self, part: int, tokenizer: str, width: int, sentence: int, hard: int, reach: int, flush: int):
+        self.part = part
         self.width, self.sentence, self.hard, self.reach, self.flush = width, sentence, hard, reach, flush
         self.tokenizer, self.ends = tokenizer, sentence_ends(tokenizer)
-        self.block, self.local = None, 0
+        self.local = 0
         self.keys: list = []
         self.ids: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, block: int, key, ids: np.ndarray):
-        """A document; gives a batch when those before it are packed: at a new block, or once `flush` ids wait."""
-        if self.keys and (block != self.block or self.size >= self.flush):
+    def add(self, key, ids: np.ndarray):
+        """A document; gives a batch when those before it are packed, once `flush` ids wait."""
+        if self.size >= self.flush:
             yield self.pack()
-        if block != self.block:
-            self.block, self.local = block, 0
         self.keys.append(key)
         self.ids.append(ids)
         self.size += len(ids)
@@ -132,33 +133,30 @@ class Packer:
         raw = memoryview(ids.astype("<u4").tobytes())
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), length.tolist())), np.int64, len(starts))
         keys = pa.array(self.keys, pa.int64()).take(pa.array(doc))
-        out = pa.RecordBatch.from_arrays([keys, pa.array(starts - doc_start[doc]), pa.array(length), pa.array(crc), pa.array(lens[doc]), pa.array(self.block * (1 << 24) + self.local + seq), pa.array(starts - seq_start[seq])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        out = pa.RecordBatch.from_arrays([keys, pa.array(starts - doc_start[doc]), pa.array(length), pa.array(crc), pa.array(lens[doc]), pa.array(self.part * (1 << 40) + self.local + seq), pa.array(starts - seq_start[seq])], names=[x.split()[0] for x in SCHEMA.split(", ")])
         self.local += len(ends)
         self.keys, self.ids, self.size = [], [], 0
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 32, block_docs: int = 1024, flush: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", sentence: int = 1, hard: int = 6, reach: int = 32, flush: int = 1 << 20) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The texts are shuffled once, by block. A task holds one run of at most `flush` ids and a document. Sequence ids ascend
-    with the key and don't depend on how rows are dealt out.
+    The texts are shuffled once, by ranges of keys. A task holds one run of at most `flush` ids and a document. Sequence ids
+    ascend with the key.
     """
-    block, key = F.floor(F.col("id") / block_docs).cast("long"), F.col("id")
-    kv = key_value(docs, id_col, text_col)
-    kv = kv.withColumn("block", F.when(key.isNull(), F.lit(-(1 << 38))).when(F.abs(key) > (1 << 47), F.raise_error(F.lit("keys must lie within +-2**47"))).otherwise(block))
     end = -1 if end_id is None else end_id
 
     def run(batches):
-        p = Packer(tokenizer, width, sentence, hard, reach, flush)
+        p = Packer(TaskContext.get().partitionId(), tokenizer, width, sentence, hard, reach, flush)
         for b in batches:
-            for block, key, ids in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), encoded(b, "text", tokenizer, None if end < 0 else end)):
+            for key, ids in zip(b.column(0).to_pylist(), encoded(b, "text", tokenizer, None if end < 0 else end)):
                 if len(ids):
-                    yield from p.add(block, key, ids)
+                    yield from p.add(key, ids)
         if p.keys:
             yield p.pack()
 
-    return kv.repartition("block").sortWithinPartitions("block", "id", "text").mapInArrow(run, SCHEMA)
+    return ordered(key_value(docs, id_col, text_col)).mapInArrow(run, SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
