@@ -60,28 +60,40 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(real)
 
 
-def with_next(docs: DataFrame, blocks: int = 256) -> DataFrame:
+#: Rows in a range of ids, about, and the most ranges there are; bounds are looked up in two levels of WIDE each.
+RANGE_ROWS, WIDE = 1024, 256
+
+
+def _ranges(docs: DataFrame, rows: int) -> Column:
+    """The range of each id, ascending; a null id's is -1."""
+    blocks = min(-(-docs.count() // rows), WIDE * WIDE)
+    if blocks < 2:
+        return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    cuts = docs.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], max(10000, 4 * blocks)).alias("q")).first().q or []
+    cuts = sorted(set(cuts))
+    parts = [cuts[i : i + WIDE] for i in range(0, len(cuts), WIDE)] or [[]]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("id")))
+    coarse = below(F.lit([p[-1] for p in parts[:-1]]).cast("array<bigint>"))
+    fine = F.array(*[F.lit(p).cast("array<bigint>") for p in parts])
+    return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(coarse * WIDE + below(F.get(fine, coarse)))
+
+
+def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """(id, text) with next_text and what else docs holds of the next row (prefixed next_), in descending order of id.
 
-    The rows are dealt into at most `blocks` ranges of id by approximate quantiles, and each range gets a copy of the first row of
+    The rows are dealt into ranges of about `rows` ids by approximate quantiles, and each range gets a copy of the first row of
     the one below; so the order needs one shuffle and no window over the whole table. Only bounds and
-    first ids, at most `blocks` of each, come to the driver.
+    first ids, at most WIDE * WIDE of each, come to the driver and are broadcast.
     """
     others = [c for c in docs.columns if c != "id"]
-    cuts = docs.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 10000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    block = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda x: x < F.col("id"))))
+    block = _ranges(docs.select("id"), rows)
     tops = sorted((r.block, r.top) for r in docs.groupBy(block.alias("block")).agg(F.max("id").alias("top")).collect())
     if not tops:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in others])
-    target = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    to = F.when(F.col("id").isNull(), F.lit(target.get(None)))
-    for top, b in target.items():
-        if top is not None:
-            to = to.when(F.col("id") == top, F.lit(b))
-    copies = docs.filter(F.col("id").isin([t for t in target if t is not None]) | (F.col("id").isNull() if None in target else F.lit(False)))
-    rows = docs.select("*", block.alias("block"), F.lit(0).alias("copy")).unionByName(copies.select("*", to.alias("block"), F.lit(1).alias("copy")))
+    target = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
+    to = F.broadcast(docs.sparkSession.createDataFrame(target, "top long, to int"))
+    copies = docs.join(to, F.col("id").eqNullSafe(F.col("top"))).select(*docs.columns, F.col("to").alias("block"), F.lit(1).alias("copy"))
+    rows = docs.select("*", block.alias("block"), F.lit(0).alias("copy")).unionByName(copies)
     order = Window.partitionBy("block").orderBy("copy", F.desc_nulls_last("id"), F.desc("text"))
     return rows.select("id", *others, "copy", *[F.lead(c).over(order).alias(f"next_{c}") for c in others]).filter("copy = 0").drop("copy")
 
