@@ -1,13 +1,16 @@
 """Main text of HTML pages by line-block distribution (operator 6).
 
 Markup is stripped into lines, one for each block element; elements that are never article text (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) leave empty lines. The text
-length of each line is summed over windows of `WINDOW` lines. The text surges where a window passes `SURGE`
-characters and the lines after it are not empty, and dives where the sums fall to nothing; the lines between surge and dive are
-kept. An article or main element, where a page has one, marks both points itself: its lines are
-between them, whatever their length.
-
-A null or empty page, or one without article text, gives an empty text. Repeated rows give repeated rows.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) leave empty lines. Every line has a
+weight: its text length, nothing for a line that is mostly links, and `SURGE` more inside an article or main element, so that its
+short lines count as well. Where such elements hold `SHARE` of the page's text or more, lines outside weigh nothing. The weights
+are summed over windows of `WINDOW` lines. The text surges where a window passes `SURGE` and either its first line does so alone
+or the windows after it are not empty, and dives where the sums fall to nothing; the lines between surge and dive are
+kept. Of a header inside an article its headings stay; its other lines (authors, dates, tools) go.
+
+A null or empty page, or one without article text, gives an empty text. Repeated rows give repeated rows, and a sum that equals
+`SURGE` is no surge. A page of any length is one row, scanned once from its start to its end; columns whose names clash with the
+new ones stay, and the new ones get underscores.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, SHARE = 3, 86, 0.25
 _RAW = "script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title|xmp|noembed|noframes"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_RAW})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -29,6 +32,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav aside footer form button dialog menu head label input fieldset".split())
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -37,6 +41,7 @@ _BOILER = re.compile(
     r"|foot|footers?|headers?|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|breadcrumbs?|widgets?|login|search|pagination|pager|toolbar|complementary|contentinfo|skip-?link)(?=$|[\s_-])",
     re.I,
 )
+_HEAD = re.compile(r"(?:^|[\s_-])(?:headers?|masthead)(?=$|[\s_-])", re.I)
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply)(?=$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -49,8 +54,8 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
     """(text, inside article or main, share of link text) of each line; empty text where something was stripped whole."""
     out: list[tuple[str, bool, float]] = []
     buf: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, stripped, inside main
-    skip = main = False
+    stack: list[tuple[str, int, bool]] = []  # tag, stripped (1: but for headings), inside main
+    skip, main = 0, False
     link = linked = 0
 
     def flush() -> None:
@@ -85,7 +90,7 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
                         flush()
                     del stack[i:]
                     was = skip
-                    skip, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    skip, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                     if was and not skip:
                         out.append(("", main, 0.0))
                     break
@@ -98,17 +103,26 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
                 flush()
             if stack and stack[-1][0] == "p":
                 stack.pop()
-                skip, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                skip, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         names = _names(m["attrs"] or "")
-        strip = tag in _NEVER or (tag == "header" and not main)
-        if not strip and names and tag not in ("body", "html", "main"):
-            strip = bool((_COMMENT if tag == "article" else _BOILER).search(names))
+        strip = 2 if tag in _NEVER else (1 if main else 2) if tag == "header" else 0
+        if strip < 2 and names and tag not in ("body", "html", "main"):
+            if tag == "article":
+                strip = 2 * bool(_COMMENT.search(names))
+            elif _BOILER.search(_HEAD.sub(" ", names)):
+                strip = 2
+            elif _HEAD.search(names):
+                strip = 1 if main else 2
+        if skip == 1 and tag in _HEADINGS and not strip:  # a heading in an article's header
+            stack.append((tag, 0, main))
+            skip = 0
+            continue
         if tag in _VOID or (m["attrs"] or "").rstrip().endswith("/"):
             continue
         if strip or tag in _BLOCK and tag not in ("p", "li", "option") or tag == "head":
             if strip and not skip:
                 flush()
-            stack.append((tag, skip or strip, main or tag in ("article", "main") or "main" in names.lower().split()))
+            stack.append((tag, max(skip, strip), main or tag in ("article", "main") or "main" in names.lower().split()))
             skip, main = stack[-1][1], stack[-1][2]
     if not skip and at < len(page):
         buf.append(page[at:])
@@ -123,7 +137,7 @@ def between(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[
     surge = min(surge, max(sums, default=0) / 2)  # a page of short lines surges at half its fullest window
     for i in range(n):
         if begin is None:
-            if sums[i] > surge and sizes[i] and (any(sums[i + 1 : i + 1 + window]) or i + 1 >= n):
+            if sums[i] > surge and sizes[i] and (sizes[i] > surge or any(sums[i + 1 : i + 1 + window]) or i + 1 >= n):
                 begin = i
         elif sums[i] == 0:
             out.append((begin, i))
@@ -137,12 +151,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(t and inside for t, inside, _ in lines):
-        keep = [t for t, inside, _ in lines if inside and t]
-    else:
-        sizes = [0 if share > 0.5 else len(t) for t, _, share in lines]
-        keep = [lines[i][0] for a, z in between(sizes) for i in range(a, z) if lines[i][0]]
-    return "\n\n".join(keep)
+    weights = line_weights(lines)
+    return "\n\n".join(lines[i][0] for a, z in between(weights) for i in range(a, z) if lines[i][0] and (weights[i] or not lines[i][1]))
+
+
+def line_weights(lines: list[tuple[str, bool, float]]) -> list[int]:
+    """The weight of each line of lines_of()."""
+    inside = sum(len(t) for t, main, _ in lines if main)
+    alone = inside and inside >= SHARE * sum(len(t) for t, _, _ in lines)
+    return [0 if not t else len(t) + SURGE if main else 0 if alone or share > 0.5 else len(t) for t, main, share in lines]
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_name: str = "text", chars_name: str = "n_chars") -> DataFrame:
