@@ -335,3 +335,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup}
+
+#: Exact similarity of whole shingle sets, and components by a recursive query.
+SQL = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM m JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * inter >= 80 * (a.n + b.n - inter)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, c.r FROM c JOIN e ON c.doc_id = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept FROM d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id, n.n
+"""
+}

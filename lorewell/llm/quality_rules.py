@@ -117,7 +117,7 @@ def _verdict(batches, rest_words: int, rest_share: float):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n_gone, pa.int64()), pa.array(numbers, pa.list_(pa.int32())), pa.array(depleted, pa.bool_())], names=["id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "removed_lines", "depleted"])
 
 
-def quality_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", window: int = 5, min_words: int = 10, repeat_percent: int = 20, least: int = 50, share: float = 0.01, half: float = 0.5, fewest: int = 2, rest_words: int = 10, rest_share: float = 0.3) -> DataFrame:
+def quality_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", window: int = 5, min_words: int = 10, repeat_percent: int = 20, least: int = 5, share: float = 0.01, half: float = 0.5, fewest: int = 2, rest_words: int = 10, rest_share: float = 0.3) -> DataFrame:
     """One row for each row of docs: id, th (text hash), base figures, base_failed, n_removed_words, removed_lines, kept."""
     spark = docs.sparkSession
     host = F.col(f"`{host_col}`").cast("string") if host_col and host_col in docs.columns else F.lit(None).cast("string")
@@ -180,3 +180,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
+
+#: Lines of documents by host on words; the defaults of quality_facts.
+SQL = {
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, host, text, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+      FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d)),
+x AS (SELECT *, regexp_replace(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l WHERE len(w) > 0),
+h AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+f AS (SELECT host, norm, count(DISTINCT doc_id) AS n, count(DISTINCT text) AS texts, min(doc_id) AS lo FROM x GROUP BY host, norm),
+o AS (SELECT host, norm, lo FROM f JOIN h USING (host) WHERE texts > 1 AND n > 2 AND n > greatest(least(5, greatest(2, docs * 0.5)), docs * 0.01)),
+g AS (SELECT doc_id, sum(CASE WHEN o.lo < doc_id THEN len(w) ELSE 0 END) AS gone, sum((k > 1)::INT) AS dup FROM x LEFT JOIN o ON x.host = o.host AND x.norm = o.norm GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS win, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM p) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, 5) AS t(j) GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+      coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_removed_words FROM d LEFT JOIN g USING (doc_id) LEFT JOIN rw USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR n_words - n_removed_words < 0.3 * n_words)) AS kept FROM v
+"""
+}

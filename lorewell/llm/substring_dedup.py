@@ -187,3 +187,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+
+#: Windows as lists of words.
+SQL = {
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS win, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS lo FROM p) WHERE lo < doc_id),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range(0, 50) AS t(j) GROUP BY doc_id),
+k AS (SELECT doc_id, w, gone, list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE kept END, ' ')) AS kept_sha256 FROM k
+"""
+}
