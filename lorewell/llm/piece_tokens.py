@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, key_value, table, written
-from .textbytes import buffer, mix, slices, spans_hash
+from .textbytes import _TABLE, BASE, BASE_INV, buffer, mix, powers, slices
 from .tokens import _Table
 
 FAN = 64
@@ -117,6 +117,8 @@ def _facts(m: Unigram, keys: pa.Array, ids: list[np.ndarray], texts: pa.Array) -
 
 NONE = -(1 << 61)
 _NULL = -(1 << 63)
+#: Units of more bytes are solved one by one.
+WIDEST = 64
 _SPACES = np.zeros(256, bool)
 _SPACES[32] = True
 
@@ -140,7 +142,7 @@ class Unigram:
         self.reach: dict[str, int] = {}
         for p in scores:
             self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
-        self.units = _Table(18)
+        self.units, self._known = _Table(18), None
 
     @classmethod
     def load(cls, model_file: str) -> Unigram:
@@ -250,7 +252,9 @@ class Unigram:
         bounds = np.searchsorted(start, off)
         if not len(start):
             return [np.zeros(0, np.uint32)] * n
-        h = mix(spans_hash(raw, start, stop)) | np.uint64(1)
+        pre = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_TABLE[raw] * powers(BASE, len(raw)), out=pre[1:])
+        h = _span(pre, start, stop)
         size = np.minimum(stop - start, 8).astype(np.uint64)
         pad = np.concatenate((raw, np.zeros(8, np.uint8)))
         head = np.ndarray((len(raw) + 1,), "<u8", pad.data, 0, (1,))[start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * size))
@@ -261,15 +265,89 @@ class Unigram:
         miss = np.flatnonzero(slot < 0)
         if len(miss):
             _, one = np.unique(h[miss] ^ (head[miss] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            new, data = miss[one], raw.tobytes()
-            units = [data[a:z].decode() for a, z in zip(start[new].tolist(), stop[new].tolist())]
-            t.add(h[new], head[new], [array("I", self.path(u, 0, len(u))).tobytes() for u in units])
-            slot[miss] = t.find(h[miss], head[miss])
+            new = miss[one]
+            t.add(h[new], head[new], self.solve(raw, pre, start[new], stop[new]))
+            slot = t.find(h, head)  # the table may have grown
         sizes = t.size[slot].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = t.pool[np.repeat(t.begin[slot] - ends[:-1], sizes) + np.arange(ends[-1])]
         return [ids[a:z] for a, z in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())]
 
+    def _prefixes(self) -> tuple[_Table, np.ndarray, np.ndarray, int]:
+        """Hashes of all pieces' beginnings, by bytes, with the weight and id of those that are pieces."""
+        if self._known is None:
+            pieces = [p.encode() for p in self.weights]
+            raw, size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+            begin = np.cumsum(size) - size
+            pre = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_TABLE[raw] * powers(BASE, len(raw)), out=pre[1:])
+            steps = np.arange(len(raw)) - np.repeat(begin, size) + 1
+            h = np.unique(_span(pre, np.repeat(begin, size), np.repeat(begin, size) + steps))
+            t = _Table((4 * len(h)).bit_length())
+            t.add(h, np.zeros(len(h), np.uint64), [b""] * len(h))
+            slot = t.find(_span(pre, begin, begin + size), np.zeros(len(pieces), np.uint64))
+            weight, own = np.full(len(t.hash), NONE, np.int64), np.zeros(len(t.hash), np.uint32)
+            weight[slot], own[slot] = list(self.weights.values()), [self.ids[p] for p in self.weights]
+            self._known = t, weight, own, int(size.max(initial=1))
+        return self._known
+
+    def solve(self, raw: np.ndarray, pre: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """Ids of the best path of each unit raw[start:stop], all units at once; long ones and those with unknown characters by path()."""
+        table, weight, own, most = self._prefixes()
+        size, n = stop - start, len(start)
+        slow = size > WIDEST
+        unit = np.repeat(np.flatnonzero(~slow), size[~slow])
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(size[~slow]) - size[~slow], size[~slow])
+        lead = (raw & 0xC0) != 0x80
+        keep = lead[start[unit] + at]
+        unit, at = unit[keep], at[keep]
+        width = np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 3, 4])[raw[start[unit] + at] >> 4]
+        single = np.zeros(len(unit), bool)
+        found, live = [], np.arange(len(unit))
+        for step in range(1, most + 1):
+            live = live[at[live] + step <= size[unit[live]]]
+            if not len(live):
+                break
+            a = start[unit[live]] + at[live]
+            slot = table.find(_span(pre, a, a + step), np.zeros(len(live), np.uint64))
+            live, slot = live[slot >= 0], slot[slot >= 0]
+            is_piece = weight[slot] > NONE
+            single[live[is_piece & (width[live] == step)]] = True
+            hit, slot = live[is_piece], slot[is_piece]
+            found.append((unit[hit], at[hit], np.full(len(hit), step), weight[slot], own[slot]))
+        slow[unit[~single]] = True
+        best = np.full((n, WIDEST + 1), NONE, np.int64)
+        best[:, 0] = 0
+        last, who = np.zeros((n, WIDEST + 1), np.int16), np.zeros((n, WIDEST + 1), np.uint32)
+        if found:
+            u, b, step, w, i = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((step, b))
+            u, b, step, w, i = u[order], b[order], step[order], w[order], i[order]
+            edges = np.flatnonzero(np.diff(b * 256 + step, prepend=-1, append=-1))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):  # one start and length at a time: each unit at most once
+                r, p, q = u[x:y], int(b[x]), int(b[x] + step[x])
+                value = best[r, p] + w[x:y]
+                up = value > best[r, q]
+                r = r[up]
+                best[r, q], last[r, q], who[r, q] = value[up], p, i[x:y][up]
+        place = np.where(slow, 0, size)
+        path: list[tuple[np.ndarray, np.ndarray]] = []
+        live = np.flatnonzero(place > 0)
+        while len(live):
+            path.append((live, who[live, place[live]]))
+            place[live] = last[live, place[live]]
+            live = live[place[live] > 0]
+        rows = np.concatenate([r for r, _ in path[::-1]]) if path else np.zeros(0, np.int64)
+        ids = np.concatenate([i for _, i in path[::-1]]) if path else np.zeros(0, np.uint32)
+        order = np.argsort(rows, kind="stable")
+        flat = memoryview(ids[order].astype(np.uint32).tobytes())
+        ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))) * 4
+        out = [bytes(flat[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in np.flatnonzero(slow).tolist():
+            text = raw[start[k] : stop[k]].tobytes().decode()
+            out[k] = array("I", self.path(text, 0, len(text))).tobytes()
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The pieces' bytes; a model from load()."""
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -285,6 +363,12 @@ def loaded(model_file: str) -> Unigram:
     return _loaded[model_file]
 
 
+def _span(pre: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hash of bytes a to z, never 0, from their prefix sums."""
+    h = (pre[z] - pre[a]) * powers(BASE_INV, len(pre))[a]
+    return mix(h + (z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+
+
 def _unit_starts(text: str) -> list[int]:
     return [i for i, c in enumerate(text) if c == " " and (i == 0 or text[i - 1] != " ")]
 
@@ -393,7 +477,7 @@ def _streamed(batches, model_file: str):
         yield row()
 
 
-def best_path(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 1 << 17, chunk: int = 1 << 14) -> DataFrame:
+def best_path(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 1 << 16, chunk: int = 1 << 14) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256, round_trip of each row by the best path; texts over `giant` characters by the scan."""
     kv = key_value(docs, id_col, text_col).withColumn("spaced", F.when(F.col("text") == "", F.col("text")).otherwise(F.concat(F.lit(" "), F.translate("text", "\u2581", " "))))
 

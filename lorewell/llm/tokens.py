@@ -240,7 +240,7 @@ class ColumnEncoder(Encoder):
             data = raw.tobytes()
             words = b"\n".join([data[x:y] for x, y in zip(a[new].tolist(), z[new].tolist())]).decode().split("\n")
             t.add(h[new], head[new], self._new(words, k[new].tolist()))
-            slot[miss] = t.find(h[miss], head[miss])
+            slot = t.find(h, head)  # the table may have grown
         sizes = t.size[slot].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = t.pool[np.repeat(t.begin[slot] - ends[:-1], sizes) + np.arange(ends[-1])] if total else np.zeros(0, np.uint32)
