@@ -9,7 +9,9 @@ their digit with chance 2**-BITS; the likeness is corrected for that.
 
 Null and empty texts have the empty fingerprint: like another empty one 1, like others 0. Repeated rows are fingerprinted
 each by itself; rows that share a key stand in order of text, descending; a null key comes last. The only document of a table
-is followed by itself. An empty table gives no rows.
+is followed by itself. A very long text is one row, whose words and hashes are arrays of its task; other columns stay, and working
+columns get names that clash with none. Ranges are of ids, so the rows of one id, null among them, stay together. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -61,7 +61,8 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
-        out.append((text, main, linked / max(len(text), 1)))
+        if text or not out or out[-1][0]:  # tags that follow each other leave one empty line
+            out.append((text, main, linked / max(len(text), 1)))
         buf.clear()
         linked = 0
 

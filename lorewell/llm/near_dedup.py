@@ -10,12 +10,16 @@ Work follows classes of equal sets, so exact copies of any number are one repres
 each member is compared with the least one (a star, not all pairs), the links found make components, and only buckets that
 still hold members of several components go on: there the members outside the bucket's commonest component
 are compared with those of other components, in small buckets as pairs and in large ones in blocks of whole sets. A pair
-left out therefore already lies in one component, and no component is missed that a candidate pair would join.
+left out therefore already lies in one component, and no component is missed that a candidate pair would join. The first links are
+a forest, whose roots are found by doubling; all later ones join trees, so only they go through components().
 
 With 40 bands of 5 registers a pair of similarity 0.8 shares no band with a chance of 1.3e-7.
 
 Null and empty texts have an empty set and are linked with nothing; so does a null key, whose component is null. Rows
-that share a key are classed each by its own text; equal sets are one component. Empty tables give empty results.
+that share a key are classed each by its own text; equal sets are one component, repeated rows among them. A similarity of just
+the threshold is a link; of equally likely centres the least is tried first. A very long text is one row: its hashes and its sorted
+set, eight bytes a shingle, are held by one task at a time, and blocks of sets shrink as sets grow. Columns beside key and text
+stay in near_filter, whatever their names, and are left out elsewhere. Empty tables give empty results.
 """
 
 from __future__ import annotations

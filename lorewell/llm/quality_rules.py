@@ -8,7 +8,9 @@ only copies of one text hold is no boilerplate, however many they are; it is lef
 depleted, and rejected, when lines went and fewer than `rest_words` words or `rest_share` of its words are left.
 
 Null texts and texts without words have all figures 0 and fail the base rule. Null hosts are one host. Rows that share a key
-are judged each by its own text. Empty tables give empty results.
+are judged each by its own text; repeated rows count as documents. A line that exactly as many documents hold as the limit says
+stays. A very long text is one row, of which only word and line hashes are kept. Columns beside the three used ones stay in
+quality_filter, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
