@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame. run()
 writes every stage's rows as Parquet in the folder of spark.checkpoint.dir and reads them again as the next one's docs.
 Texts that a stage changes get a new n_chars. Rows with null or empty text fail the quality rules; extra columns pass
-through the first three stages; an empty table stays empty.
+through the first three stages, whatever their names; an empty table stays empty. Rows with a null key are judged, are no
+near-duplicates of others and come last for repeated passages; rows that repeat both key and text are one after the second stage. A
+very long text is one row all the way, and packed over as many sequences as it fills. Ties go to the least key.
 """
 
 from __future__ import annotations
