@@ -104,9 +104,7 @@ def _sketches(batches, k: int, m: int):
             sizes = np.where(n > 0, 2 * m, 0)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             col = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(sketch)])
-            raw = memoryview(value.tobytes())
-            sets = pa.array([raw[8 * begin[i] : 8 * begin[i + 1]] for i in range(b.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), col, sets], names=["id", "th", "n", "d1", "d2", "sketch", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), col], names=["id", "th", "n", "d1", "d2", "sketch"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -126,17 +124,28 @@ def _estimated(batches, m: int):
         yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(estimate(*sk, nx, ny))], names=["x", "y", "est"])
 
 
-def _verified(batches, percent: int):
-    for b in batches:
-        ok = []
-        for p, q in zip(b.column("px").to_pylist(), b.column("py").to_pylist()):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = np.concatenate((p, q))
-            both.sort(kind="stable")
-            inter = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * inter >= percent * (len(p) + len(q) - inter))
-        ok = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("x").filter(ok), b.column("y").filter(ok)], names=["x", "y"])
+def _sets(batches, k: int):
+    """Rows that end in a text, which becomes the set: its distinct shingle hashes, ascending, as raw 64-bit values."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            value, begin = shingle_sets(*buffer(b.column(b.num_columns - 1)), k)
+            raw = memoryview(value.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([raw[8 * begin[i] : 8 * begin[i + 1]] for i in range(b.num_rows)], pa.binary())], names=[*b.schema.names[:-1], "set"])
+
+
+def _verified(batches, k: int, percent: int):
+    """The pairs (x, y, tx, ty) whose texts' whole sets are alike enough."""
+    for batch in batches:
+        for b in slices(batch, "ty"):
+            (p, pb), (q, qb) = (shingle_sets(*buffer(b.column(c)), k) for c in (2, 3))
+            ok = []
+            for i in range(b.num_rows):
+                both = np.concatenate((p[pb[i] : pb[i + 1]], q[qb[i] : qb[i + 1]]))
+                both.sort(kind="stable")
+                inter = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * inter >= percent * (len(both) - inter))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["x", "y"])
 
 
 def _bits(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
@@ -213,10 +222,10 @@ def roots(parent: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 
 class _Search:
-    """Candidates, estimates and comparisons over the class representatives `reps` (id, n, sketch) and `sets` (id, set)."""
+    """Candidates, estimates and comparisons over the class representatives `reps` (id, n, sketch) and `texts` (id, text)."""
 
-    def __init__(self, reps: DataFrame, sets: DataFrame, bands: int, rows: int, percent: int, margin: float, name: str):
-        self.reps, self.sets, self.m, self.percent, self.margin, self.name = reps, sets, bands * rows, percent, margin, name
+    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, bands: int, rows: int, percent: int, margin: float, name: str):
+        self.reps, self.texts, self.k, self.m, self.percent, self.margin, self.name = reps, texts, k, bands * rows, percent, margin, name
         self.spark = reps.sparkSession
         keys = F.array(*[F.xxhash64(F.substring("sketch", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)])
         self.total = reps.count() * bands
@@ -239,10 +248,13 @@ class _Search:
         return sized.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(lambda it: _estimated(it, m), "x long, y long, est double").filter(F.col("est") >= low)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (x, y) that pass on their whole sets. y's set joins first, so a frequent x splits as above."""
-        percent = self.percent
-        px, py = self.sets.select(F.col("id").alias("x"), F.col("set").alias("px")), self.sets.select(F.col("id").alias("y"), F.col("set").alias("py"))
-        return pairs.join(py, "y").join(px, "x").select("x", "y", "px", "py").mapInArrow(lambda it: _verified(it, percent), "x long, y long")
+        """Those of the pairs (x, y) that pass on their whole sets. y's text joins first, so a frequent x splits as above.
+
+        Texts are shuffled, not sets: they are smaller, and compress.
+        """
+        k, percent = self.k, self.percent
+        tx, ty = self.texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), self.texts.select(F.col("id").alias("y"), F.col("text").alias("ty"))
+        return pairs.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty").mapInArrow(lambda it: _verified(it, k, percent), "x long, y long")
 
     def mixed(self, labels: DataFrame) -> DataFrame:
         """(key, id, c, members, main) of the buckets that hold several components; main is the commonest."""
@@ -260,7 +272,7 @@ class _Search:
         `BLOCK` by `BLOCK` sets and about `BLOCK_WORDS` shingles, so a task's memory grows neither with the cluster nor, beyond one
         row of blocks, with its texts.
         """
-        percent = self.percent
+        k, percent = self.k, self.percent
         rows = left.groupBy(F.col("main").alias("cluster"), "id", "c").agg(F.lit(1).alias("_")).drop("_").join(self.reps.select("id", F.col("n").alias("words")), "id")
         rows, at = written(rows, f"{self.name}-clusters")
         if not rows.limit(1).count():
@@ -269,8 +281,9 @@ class _Search:
         size = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / fit).alias("all"), F.ceil(F.sum((F.col("c") != F.col("cluster")).cast("int")) / fit).alias("out"))
         rows = rows.join(size, "cluster")
         i, j = F.pmod(F.xxhash64("id", F.lit(1)), F.col("out")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("all"))
-        # Sets join before the rows are repeated: once for each member of a cluster.
-        rows = rows.select("cluster", "id", "c", "all", "out", i.alias("i"), j.alias("j")).join(self.sets, "id")
+        # Sets are made before the rows are repeated: once for each member of a cluster.
+        rows = rows.select("cluster", "id", "c", "all", "out", i.alias("i"), j.alias("j")).join(self.texts, "id")
+        rows = rows.select("cluster", "id", "c", "all", "out", "i", "j", "text").mapInArrow(lambda it: _sets(it, k), "cluster long, id long, c long, all long, out long, i long, j long, set binary")
         spots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda v: F.struct(v.alias("i"), F.col("j").alias("j"), F.lit(False).alias("outer")))
         own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda v: F.struct(F.col("i").alias("i"), v.alias("j"), F.lit(True).alias("outer")))
         dealt = rows.select("cluster", "id", "c", "set", F.explode(F.when(F.col("c") != F.col("cluster"), F.concat(spots, own)).otherwise(spots)).alias("s")).select("cluster", "s.*", "id", "c", "set")
@@ -288,10 +301,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kv = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kv = kv.withColumn("th", F.xxhash64("text"))
     name, same = "near", ["n", "d1", "d2"]
-    facts, facts_at = written(kv.mapInArrow(lambda it: _sketches(it, k, m), "id long, th long, n long, d1 long, d2 long, sketch binary, set binary"), f"{name}-sketches")
+    facts, facts_at = written(kv.mapInArrow(lambda it: _sketches(it, k, m), "id long, th long, n long, d1 long, d2 long, sketch binary"), f"{name}-sketches")
     whole = facts.filter("n > 0 and id is not null")
     reps, reps_at = written(whole.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), f"{name}-classes")
-    s = _Search(reps, whole.select("id", "set"), bands, rows, percent, margin, name)
+    s = _Search(reps, kv.filter("id is not null").select("id", "text"), k, bands, rows, percent, margin, name)
     found, found_at = written(s.stars(), f"{name}-pairs")
     # First the likest centre of each document: the links that pass are a forest, as a centre's id is less than its documents'.
     best = found.groupBy("y").agg(F.max_by("x", F.struct("est", -F.col("x"))).alias("x")).select("x", "y")
