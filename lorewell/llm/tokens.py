@@ -38,13 +38,16 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _each(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(parts, add_special_tokens=False)]
+        # The library's results are large, so few parts go in at once.
+        runs = (parts[i : i + 4096] for i in range(0, len(parts), 4096))
+        return [array("I", e.ids).tobytes() for r in runs for e in self.tok.encode_batch(r, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         """Ids of each word of letters after a space; many words go through the library as one text of lines."""
         out: list[bytes] = []
         runs = [words[i : i + 512] for i in range(0, len(words), 512)]
-        for run, e in zip(runs, self.tok.encode_batch([" " + "\n ".join(r) for r in runs], add_special_tokens=False)):
+        encodings = (e for i in range(0, len(runs), 16) for e in self.tok.encode_batch([" " + "\n ".join(r) for r in runs[i : i + 16]], add_special_tokens=False))
+        for run, e in zip(runs, encodings):
             of = np.array(e.word_ids)
             raw = np.array(e.ids, np.uint32).tobytes()
             at = np.flatnonzero(of[1:] != of[:-1]) + 1
@@ -120,7 +123,7 @@ _KINDS = np.array([0x0, 0x9E6C63D0876A9A47, 0x3C79AC492BA7B653], np.uint64)
 class _Table:
     """Open-addressing table in arrays: word hash, first bytes, where its ids begin in the pool and how many they are."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.mask = np.uint64((1 << bits) - 1)
         self.hash, self.head = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.begin, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
@@ -230,7 +233,7 @@ class ColumnEncoder(Encoder):
         size = np.minimum(z - a, 8).astype(np.uint64)
         head = eight[a] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * size)) if total else h
         t = self.table
-        if t.count > 1 << 20:
+        if t.count > 1 << 19:
             self.table = t = _Table()
         slot = t.find(h, head)
         miss = np.flatnonzero(slot < 0)
@@ -280,5 +283,5 @@ def encoded(batch, text: str, path: str, end_id: int | None):
 
     enc = encoder(path)
     end = np.array([] if end_id is None else [end_id], np.uint32)
-    for part in slices(batch, text, 2 << 20):
+    for part in slices(batch, text, 1 << 20):
         yield from enc.column(*buffer(part.column(part.schema.get_field_index(text))), end)
