@@ -113,7 +113,7 @@ def one_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartitionByRange(max(rows.count(), 1), key)
 
 
-def ordered(kv: DataFrame, prefix: int = 256) -> DataFrame:
+def ordered(kv: DataFrame, prefix: int = 24) -> DataFrame:
     """(id, text) in ranges that ascend with the partition, nulls first, then by text; the rows of one key may span ranges.
 
     Only rows that share their key and the first `prefix` characters stay in one range.
