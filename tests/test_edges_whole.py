@@ -7,8 +7,8 @@ from .test_whole_job import DIR, duck, rows
 
 
 def test_edge_by_args_has_every_customer(spark):
-    got = rows(catalog.queries()["edge_by_args_all"](spark, DIR), "pattern", "edge")
-    assert got == sorted(duck(f"SELECT pattern, edge FROM ({catalog.oracle_sql()['edge_by_args_all']})"), key=repr)
+    got = rows(catalog.queries()["edge_by_args"](spark, DIR), "pattern", "edge")
+    assert got == sorted(duck(f"SELECT pattern, edge FROM ({catalog.oracle_sql()['edge_by_args']})"), key=repr)
     assert len(got) == duck("SELECT count(*) FROM customer")[0][0]
 
 

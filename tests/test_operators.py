@@ -54,7 +54,7 @@ def test_graph(spark):
     assert graph.justify(direct, "dog", "thing").first().path == ["dog", "pet", "animal", "thing"]
     assert graph.justify(direct, "rock", "dog").count() == 0
     assert rows(graph.siblings(direct)) == [("animal", "rock"), ("cat", "dog"), ("dog", "cat"), ("rock", "animal")]
-    d = {(r.a, r.b): r.distance for r in graph.semantic_distance(spark.createDataFrame([("dog", "cat"), ("dog", "dog")], "a string, b string"), up, 6).collect()}
+    d = {(r.a, r.b): r.distance for r in graph.semantic_distance(spark.createDataFrame([("dog", "cat"), ("dog", "dog")], "a string, b string"), up, graph.isa_closure(spark.createDataFrame([], "arg1 string, arg2 string"), up), 6).collect()}
     assert d[("dog", "dog")] == 0 and d[("dog", "cat")] == (4 - 3) / (6 - 4)
 
 

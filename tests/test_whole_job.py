@@ -21,8 +21,8 @@ def duck(sql):
 
 
 def test_solver_has_every_subject(spark):
-    got = {r.module: r.weight for r in catalog.queries()["consistency_solver_all"](spark, DIR).collect()}
-    want = dict(duck(catalog.oracle_sql()["consistency_solver_all"]))
+    got = {r.module: r.weight for r in catalog.queries()["consistency_solver"](spark, DIR).collect()}
+    want = dict(duck(catalog.oracle_sql()["consistency_solver"]))
     assert max(got) > 300 and set(got) == set(want) == {s for (s,) in duck("SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")}
     assert all(abs(got[m] - want[m]) < 1e-5 for m in want)
 
