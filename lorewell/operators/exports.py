@@ -93,11 +93,10 @@ def to_process(candidates: DataFrame, processed: DataFrame, is_list: Column) ->
 
 def under_all_parents(concepts: DataFrame, parents: DataFrame, up: DataFrame) -> DataFrame:
     """(concept): those below every parent; a concept without edges (new) passes."""
-    seen = up.select(F.col("node").alias("concept")).distinct().withColumn("_old", F.lit(1))
-    need = concepts.crossJoin(F.broadcast(parents.select("parent").limit(1000)))
-    has = up.select(F.col("node").alias("concept"), F.col("ancestor").alias("parent"), F.lit(1).alias("_has"))
-    missing = need.join(has, ["concept", "parent"], "left").filter("_has is null").select("concept").distinct().withColumn("_miss", F.lit(1))
-    return concepts.join(seen, "concept", "left").join(missing, "concept", "left").filter("_old is null or _miss is null").select("concept")
+    asked = parents.select(F.col("parent").alias("ancestor")).distinct().withColumn("_asked", F.lit(1))
+    n = asked.count()
+    has = up.select("node", "ancestor").distinct().join(asked, "ancestor", "left").groupBy(F.col("node").alias("concept")).agg(F.count("_asked").alias("_n"))
+    return concepts.join(has, "concept", "left").filter(F.coalesce(F.col("_n"), F.lit(n)) == n).select("concept")
 
 
 def word_gap(a_at: Column, a_size: Column, b_at: Column, b_size: Column) -> Column:

@@ -92,15 +92,15 @@ def common_ancestors(up: DataFrame, a: str, b: str) -> DataFrame:
     return one.join(two, "ancestor", "left_semi")
 
 
-def justify(direct: DataFrame, node: str, ancestor: str, most: int = 16) -> DataFrame:
+def justify(direct: DataFrame, node: str, ancestor: str) -> DataFrame:
     """(path): a shortest proof as an array of nodes, or no row."""
     paths = direct.sparkSession.createDataFrame([([node],)], "path array<string>")
     done = paths.filter(F.element_at("path", -1) == ancestor)
-    for _ in range(most):
-        if done.limit(1).count():
-            break
+    seen = paths.select(F.element_at("path", -1).alias("arg2"))
+    while not done.limit(1).count():
         step = paths.withColumn("arg1", F.element_at("path", -1)).join(direct, "arg1").filter(~F.array_contains("path", F.col("arg2")))
-        paths = written(step.groupBy("arg2").agg(F.min(F.concat("path", F.array("arg2"))).alias("path")).select("path"), "paths")
+        paths = written(step.join(seen, "arg2", "left_anti").groupBy("arg2").agg(F.min(F.concat("path", F.array("arg2"))).alias("path")).select("path"), "paths")
+        seen = seen.union(paths.select(F.element_at("path", -1)))
         if not paths.limit(1).count():
             break
         done = paths.filter(F.element_at("path", -1) == ancestor)
@@ -184,20 +184,37 @@ def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("pred", "arg1", "arg2").distinct(), ["pred", "arg1", "arg2"], "left_anti")
 
 
-def semantic_distance(pairs: DataFrame, up: DataFrame, n_nodes: int) -> DataFrame:
-    """(a, b, distance): (larger closure - shared) / (nodes - smaller closure); 0 for equal nodes."""
-    size = up.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+def semantic_distance(pairs: DataFrame, up: DataFrame, isa: DataFrame, n_nodes: int) -> DataFrame:
+    """(a, b, distance): (larger - shared) / (nodes - smaller) over what lies above each, genls and isa together.
+
+    A collection that is above by both counts twice in a size and once among the shared. 0 for equal terms; -1 where b is no
+    collection. `isa` holds (instance, collection) of the whole isa closure.
+    """
+    broad = up.select("node", "ancestor").union(isa.select("instance", "collection"))
+    size = broad.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     ab = pairs.select("a", "b").distinct()
-    sized = ab.join(size.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
-    one, two = up.select(F.col("node").alias("a"), "ancestor"), up.select(F.col("node").alias("b"), "ancestor")
+    kinds = up.select(F.col("node").alias("b")).distinct().withColumn("_kind", F.lit(1))
+    sized = ab.join(size.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a", "left").join(size.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b", "left").join(kinds, "b", "left")
+    once = broad.distinct()
+    one, two = once.select(F.col("node").alias("a"), "ancestor"), once.select(F.col("node").alias("b"), "ancestor")
     shared = ab.join(one, "a").join(two, ["b", "ancestor"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    d = (F.greatest("sa", "sb") - F.coalesce("shared", F.lit(0))) / (F.lit(n_nodes) - F.least("sa", "sb"))
-    return sized.join(shared, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(d).alias("distance"))
+    sa, sb = (F.coalesce(c, F.lit(0)) for c in ("sa", "sb"))
+    d = (F.greatest(sa, sb) - F.coalesce("shared", F.lit(0))) / (F.lit(n_nodes) - F.least(sa, sb))
+    return sized.join(shared, ["a", "b"], "left").select("a", "b", F.when(F.col("_kind").isNull(), -1.0).when(F.col("a") == F.col("b"), 0.0).otherwise(d).alias("distance"))
 
 
-def proof_distance(pairs: DataFrame, up: DataFrame) -> DataFrame:
-    """(a, b, distance): length of the shortest proof that a is below b, null without one."""
-    return pairs.join(up.select(F.col("node").alias("a"), F.col("ancestor").alias("b"), "depth"), ["a", "b"], "left").select("a", "b", F.col("depth").alias("distance"))
+def proof_distance(pairs: DataFrame, up: DataFrame, isa: DataFrame) -> DataFrame:
+    """(a, b, distance): steps of the shorter of two proofs, that a is an instance of b (one isa edge, then genls) or below it.
+
+    0 for equal terms, -1 without a proof or where a is no collection. `isa` holds the direct edges (arg1, arg2).
+    """
+    ab = pairs.select("a", "b").distinct()
+    kinds = up.select(F.col("node").alias("a")).distinct().withColumn("_kind", F.lit(1))
+    below = up.filter("depth > 0").select(F.col("node").alias("a"), F.col("ancestor").alias("b"), F.col("depth").alias("n"))
+    member = isa.select(F.col("arg1").alias("a"), F.col("arg2").alias("node")).join(up, "node").select("a", F.col("ancestor").alias("b"), (F.col("depth") + 1).alias("n"))
+    least = below.union(member).groupBy("a", "b").agg(F.min("n").alias("n"))
+    d = F.when(F.col("_kind").isNull(), -1).when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("n", F.lit(-1)))
+    return ab.join(least, ["a", "b"], "left").join(kinds, "a", "left").select("a", "b", d.alias("distance"))
 
 
 def assertion_distance(uses: DataFrame, constraints: DataFrame, up: DataFrame, default: float) -> DataFrame:

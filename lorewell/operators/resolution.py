@@ -5,12 +5,14 @@ All results are (id, kind, value, weight) rows; `names` is (name, concept), `map
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights, wikitext
+from ..sources.stores import written
 from . import mapping as _mapping
 
 
@@ -119,22 +121,24 @@ PREPROCESSORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def preprocess(texts: DataFrame, names: Sequence[str] = tuple(PREPROCESSORS), most: int = 4) -> DataFrame:
+def preprocess(texts: DataFrame, names: Sequence[str] = tuple(PREPROCESSORS)) -> DataFrame:
     """(id, level, text): a text and, level by level, what pre-processing makes of it.
 
     At each level the first pre-processor that changes a text replaces it by its outputs; unchanged texts end there. Every level is
-    one projection over the level above, so the tree is a plan of `most` projections and no loop over rows.
+    one projection over the written level above, and levels end when no text changes.
     """
     level = texts.select("id", F.lit(0).alias("level"), F.trim("text").alias("text")).filter("text <> ''")
     out = level
-    for n in range(1, most + 1):
+    for n in itertools.count(1):
         changed = F.lit(None).cast("array<string>")
         for name in reversed(list(names)):
             made = PREPROCESSORS[name](F.col("text"))
             changed = F.when(made != F.array("text"), made).otherwise(changed)
         level = level.select("id", F.lit(n).alias("level"), F.explode(changed).alias("text")).filter("trim(text) <> ''")
+        level = written(level.distinct(), "level")
+        if level.isEmpty():
+            return out.distinct()
         out = out.unionByName(level)
-    return out.distinct()
 
 
 def resolve(texts: DataFrame, names: DataFrame, mapping: DataFrame | None = None, allow_strings: bool = False, fragment: bool = False, tree: bool = True) -> DataFrame:

@@ -92,20 +92,11 @@ def collection_list(spark, d):
     return e.filter("pred = 'genls'").select(F.col("arg1").alias("name")).union(e.filter("pred in ('genls', 'isa')").select("arg2")).distinct()
 
 
-_WANT = "w AS (SELECT c_custkey AS pattern, 'isa' AS pred, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS arg1, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS arg2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 60)"
+_WANT = "w AS (SELECT c_custkey AS pattern, 'isa' AS pred, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS arg1, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS arg2 FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
 @query("edge_by_args", f"WITH {EDGES}, {_WANT}, f AS (SELECT pattern, min(e.arg1 || '>' || e.arg2) AS edge FROM w JOIN edges e ON e.pred = w.pred AND (w.arg1 IS NULL OR w.arg1 = e.arg1) AND (w.arg2 IS NULL OR w.arg2 = e.arg2) GROUP BY pattern HAVING count(*) = 1) SELECT w.pattern, edge FROM w LEFT JOIN f ON f.pattern = w.pattern")
 def edge_by_args(spark, d):
-    """The patterns that its SQL names; edge_by_args_all has every customer's."""
-    return _edges_by_args(spark, d, views.table(spark, d, "customer").filter("c_custkey <= 60"))
-
-
-_WANT_ALL = "w AS (SELECT c_custkey AS pattern, 'isa' AS pred, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS arg1, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS arg2 FROM customer JOIN nation ON c_nationkey = n_nationkey)"
-
-
-@query("edge_by_args_all", f"WITH {EDGES}, {_WANT_ALL}, f AS (SELECT pattern, min(e.arg1 || '>' || e.arg2) AS edge FROM w JOIN edges e ON e.pred = w.pred AND (w.arg1 IS NULL OR w.arg1 = e.arg1) AND (w.arg2 IS NULL OR w.arg2 = e.arg2) GROUP BY pattern HAVING count(*) = 1) SELECT w.pattern, edge FROM w LEFT JOIN f ON f.pattern = w.pattern")
-def edge_by_args_all(spark, d):
     return _edges_by_args(spark, d, views.table(spark, d, "customer"))
 
 
@@ -191,6 +182,21 @@ def merge_mined(spark, d):
     return catalogue.merge_mined(b.filter("article_id % 3 <> 0"), b.filter("article_id % 3 <> 1").withColumn("mined", F.lit(3)))
 
 
+@query(
+    "merge_information",
+    """WITH l AS (SELECT l_orderkey AS article_id, l_linenumber AS n, CASE WHEN l_linenumber > 2 THEN l_returnflag END AS box, l_partkey AS a FROM lineitem),
+    r AS (SELECT article_id, 1 AS run, bit_or(1 << n) AS mined, max(box) AS infobox_type, list(a) AS xs FROM l GROUP BY 1 UNION ALL SELECT article_id, 2, bit_or(1 << (n % 3)), max(box) FILTER (WHERE n > 5), list(a) FROM l WHERE n < 7 AND article_id % 3 <> 0 GROUP BY 1)
+    SELECT article_id, bit_and(mined) AS mined, max_by(infobox_type, run) FILTER (WHERE infobox_type IS NOT NULL) AS infobox_type, CAST(list_sum(flatten(list(xs))) AS BIGINT) AS assertion_sum, CAST(len(flatten(list(xs))) AS BIGINT) AS assertions FROM r GROUP BY article_id""",
+)
+def merge_information(spark, d):
+    """Two runs over each article, the second without a third of them."""
+    li = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").cast("int").alias("n"), F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).alias("box"), F.col("l_partkey").cast("long").alias("a"))
+    run = lambda df, bit, box: df.groupBy("article_id").agg(F.bit_or(F.expr(f"shiftleft(1, {bit})")).alias("mined"), F.max(box).alias("infobox_type"), F.collect_list("a").alias("assertions"))
+    one, two = run(li, "n", F.col("box")), run(li.filter("n < 7 and article_id % 3 <> 0"), "n % 3", F.when(F.col("n") > 5, F.col("box")))
+    out = catalogue.merge_information(one, two)
+    return out.select("article_id", "mined", "infobox_type", F.aggregate("assertions", F.lit(0).cast("long"), lambda x, y: x + y).alias("assertion_sum"), F.size("assertions").cast("long").alias("assertions"))
+
+
 @query("miner_driver", f"WITH {ARTICLES} SELECT article_id, 'title' AS heuristic, 'synonym' AS relation, title AS arg, CAST(0.5 AS DOUBLE) AS weight FROM articles WHERE NOT regexp_matches(title, '^Lists? of .*$') UNION ALL SELECT article_id, 'category', 'birthDate', CAST(1900 + article_id % 90 AS VARCHAR), CAST(2.0 AS DOUBLE) FROM articles")
 def miner_driver(spark, d):
     a = views.articles(spark, d).select("article_id", "title")

@@ -49,14 +49,8 @@ def _apart(spark, d):
     return a.join(b, (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
 
 
-@query("consistency_solver", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s WHERE subject <= 300")
+@query("consistency_solver", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s")
 def consistency_solver(spark, d):
-    """The general search on the flagship's problem, for the subjects that its SQL names; consistency_solver_all has every subject."""
-    return _solved(spark, d, weights.normalise_max(_votes(spark, d), ["subject"]).filter("subject <= 300"))
-
-
-@query("consistency_solver_all", f"{_CONJOINT}, s AS (SELECT subject, max(round(cw, 9)) AS cw, max(aw) AS aw FROM r GROUP BY subject) SELECT subject AS module, round(cw / aw, 6) AS weight FROM s")
-def consistency_solver_all(spark, d):
     """The general search for every subject: each vote a column of its own; it must find the closed form's weight."""
     return _solved(spark, d, weights.normalise_max(_votes(spark, d), ["subject"]))
 

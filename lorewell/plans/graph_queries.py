@@ -114,24 +114,38 @@ def sibling_lift(spark, d):
     return tidy(graph.sibling_lift(_disjoint(spark, d), graph.of(_edges(spark, d), "genls")), "lift")
 
 
+_PAIRS = "p AS (SELECT a, r_name AS b FROM (SELECT n_name AS a FROM nation UNION ALL SELECT c_name FROM customer), region UNION ALL SELECT n_name, 'Customer#000000001' FROM nation)"
+_BROAD = "broad AS (SELECT node, ancestor FROM up UNION ALL SELECT DISTINCT e.arg1, up.ancestor FROM edges e JOIN up ON up.node = e.arg2 WHERE e.pred = 'isa')"
+
+
+def _named_pairs(spark, d):
+    """Nations and customers with every region, and nations with one customer, which is no collection."""
+    nations, regions = views.table(spark, d, "nation").select(F.col("n_name").alias("a")), F.broadcast(views.table(spark, d, "region").select(F.col("r_name").alias("b")))
+    return nations.union(views.table(spark, d, "customer").select("c_name")).crossJoin(regions).union(nations.withColumn("b", F.lit("Customer#000000001")))
+
+
 @query(
     "semantic_distance",
-    f"""{_REC}, size AS (SELECT node, count(*) AS s FROM up GROUP BY node), n AS (SELECT count(DISTINCT node) AS n FROM up),
-    p AS (SELECT x.n_name AS a, y.r_name AS b FROM nation x, region y),
-    k AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN up u ON u.node = p.a JOIN up v ON v.node = p.b AND v.ancestor = u.ancestor GROUP BY 1, 2)
-    SELECT p.a, p.b, round((greatest(sa.s, sb.s) - coalesce(shared, 0)) * 1.0 / (n.n - least(sa.s, sb.s)), 6) AS distance
-    FROM p JOIN size sa ON sa.node = p.a JOIN size sb ON sb.node = p.b LEFT JOIN k ON k.a = p.a AND k.b = p.b, n""",
+    f"""{_REC}, n AS (SELECT count(DISTINCT node) AS n FROM up), {_PAIRS}, {_BROAD},
+    size AS (SELECT node, count(*) AS s FROM broad GROUP BY node), once AS (SELECT DISTINCT node, ancestor FROM broad),
+    k AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN once u ON u.node = p.a JOIN once v ON v.node = p.b AND v.ancestor = u.ancestor GROUP BY 1, 2)
+    SELECT p.a, p.b, CASE WHEN p.b NOT IN (SELECT node FROM up) THEN -1.0 ELSE round((greatest(coalesce(sa.s, 0), coalesce(sb.s, 0)) - coalesce(shared, 0)) * 1.0 / (n.n - least(coalesce(sa.s, 0), coalesce(sb.s, 0))), 6) END AS distance
+    FROM p LEFT JOIN size sa ON sa.node = p.a LEFT JOIN size sb ON sb.node = p.b LEFT JOIN k ON k.a = p.a AND k.b = p.b, n""",
 )
 def semantic_distance(spark, d):
     up = _up(spark, d)
-    pairs = views.table(spark, d, "nation").select(F.col("n_name").alias("a")).crossJoin(F.broadcast(views.table(spark, d, "region").select(F.col("r_name").alias("b"))))
-    return tidy(graph.semantic_distance(pairs, up, up.select("node").distinct().count()), "distance")
+    isa = graph.isa_closure(graph.of(_edges(spark, d), "isa"), up)
+    return tidy(graph.semantic_distance(_named_pairs(spark, d), up, isa, up.select("node").distinct().count()), "distance")
 
 
-@query("proof_distance", f"{_REC} SELECT n_name AS a, r_name AS b, depth AS distance FROM nation CROSS JOIN region LEFT JOIN up ON node = n_name AND ancestor = r_name")
+@query(
+    "proof_distance",
+    f"""{_REC}, {_PAIRS}, q AS (SELECT node AS a, ancestor AS b, depth AS n FROM up WHERE depth > 0 UNION ALL SELECT e.arg1, ancestor, depth + 1 FROM edges e JOIN up ON node = e.arg2 WHERE pred = 'isa'),
+    l AS (SELECT a, b, min(n) AS n FROM q GROUP BY a, b)
+    SELECT p.a, p.b, CASE WHEN p.a NOT IN (SELECT node FROM up) THEN -1 ELSE coalesce(n, -1) END AS distance FROM p LEFT JOIN l ON l.a = p.a AND l.b = p.b""",
+)
 def proof_distance(spark, d):
-    pairs = views.table(spark, d, "nation").select(F.col("n_name").alias("a")).crossJoin(F.broadcast(views.table(spark, d, "region").select(F.col("r_name").alias("b"))))
-    return graph.proof_distance(pairs, _up(spark, d))
+    return graph.proof_distance(_named_pairs(spark, d), _up(spark, d), graph.of(_edges(spark, d), "isa"))
 
 
 _CONSTRAINTS = [("buys", 1, "ASIA"), ("buys", 1, "Thing"), ("sells", 1, "EUROPE"), ("knows", 1, "Thing")]
