@@ -104,7 +104,7 @@ def spread_join(rows: DataFrame, few: DataFrame, key: list[str], total: int, wei
     hot = few.filter(F.col(weight) > least).select(*key, F.lit(True).alias(mark), *[F.col(v).alias(f"hot_{v}") for v in values])
     cold = few.filter(F.col(weight) <= least).select(F.col(first).alias(to), *rest, *values)
     marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn(to, F.when(F.col(mark).isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns)))
+    marked = marked.withColumn(to, F.when(F.col(mark).isNull(), F.col(first)).otherwise(F.xxhash64(*rows.columns).cast(rows.schema[first].dataType)))
     return marked.join(cold, [to, *rest], "left").select(*rows.columns, *[F.when(F.col(mark), F.col(f"hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
 

@@ -196,3 +196,16 @@ def test_packing_of_any_key(spark):
     out = pack(spark.createDataFrame(data, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert {r.doc_id for r in out} == {i for i, _ in data}
     assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
+
+
+@pytest.mark.parametrize("hot", [4, 2048])
+def test_spread_join(spark, hot, monkeypatch):
+    """Keys of any type, hot ones by broadcast and others by shuffle, rows of nulls and without a partner."""
+    from lorewell.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    data = [("deadbeef", i) for i in range(60)] + [(f"k{i % 7}", i) for i in range(20)] + [(None, 1)]
+    rows = spark.createDataFrame(data, "d string, i int").repartition(3)
+    few = rows.groupBy("d").count().withColumnRenamed("count", "n").filter("d is not null and d <> 'k3'").selectExpr("d", "n", "upper(d) as v")
+    got = sorted((tuple(r) for r in common.spread_join(rows, few, ["d"], len(data)).collect()), key=repr)
+    assert got == sorted(((d, i, None if d in (None, "k3") else d.upper()) for d, i in data), key=repr)
