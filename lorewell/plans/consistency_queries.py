@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import weights
-from ..operators import consistency, evaluate, graph, mining
+from ..operators import conjoint, consistency, evaluate, graph, mining
 from ..sources import views
 from .base import EVIDENCE, GOLD, UP, EDGES, VOTES, query, r6, tidy
 
@@ -61,6 +61,24 @@ def assertion_grid(spark, d):
     return tidy(consistency.grid(norm.select(F.col("subject").alias("module"), F.col("target").alias("queue"), F.lit(None).cast("string").alias("parent"), F.col("target").alias("assertion"), "weight")), "weight")
 
 
+@query(
+    "conjoint_cases",
+    f"""{_CONJOINT}, first AS (SELECT subject, 1 + sum(weight) AS total FROM norm GROUP BY subject),
+    kinds AS (SELECT c_custkey AS subject, 'INDIVIDUAL' AS kind, 1.0::DOUBLE AS factor FROM customer UNION ALL SELECT c_custkey, 'COLLECTION', CASE c_custkey % 3 WHEN 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END - 0.0001::DOUBLE FROM customer)
+    SELECT s.subject AS module, kind, region, n, round(w / total * factor, 9) AS weight FROM (SELECT subject, region, sum(weight) AS w, count(*) AS n FROM c GROUP BY subject, region) s JOIN first f ON s.subject = f.subject JOIN kinds k ON k.subject = s.subject""",
+)
+def conjoint_cases(spark, d):
+    """Every case of every subject's grid, as an individual and as a collection; standings differ by subject."""
+    norm = weights.normalise_max(_votes(spark, d), ["subject"])
+    queues = norm.select(F.col("subject").alias("module"), F.col("target").alias("queue"), F.lit(None).cast("string").alias("parent"), F.col("target").alias("assertion"), "weight")
+    cells = consistency.grid(queues).select("module", "x", "y", F.lit(None).cast("int").alias("parent"), F.lit("isaGenls").alias("relation"), F.col("assertion").alias("arg"), "weight", F.lit(1).alias("position"))
+    shares = norm.select(F.col("subject").alias("module")).distinct().withColumns({"ind": F.lit(1.0), "coll": F.when(F.col("module") % 3 == 0, 1.0).otherwise(0.5)})
+    found = conjoint.cases(cells, _apart(spark, d), standing=shares, most=None)
+    # A case's assertions are of one region, as its nations must not be disjoint.
+    one = found.withColumn("target", F.col("assertions")[0]["arg"]).join(_regions(spark, d), "target")
+    return one.select("module", "kind", "region", F.size("assertions").cast("long").alias("n"), F.round("weight", 9).alias("weight"))
+
+
 @query("accept_assertions", None)
 def accept_assertions(spark, d):
     """Rounds of acceptance under regions' disjointness."""
