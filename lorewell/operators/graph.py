@@ -157,6 +157,19 @@ def valid_args(uses: DataFrame, constraints: DataFrame, closure_of: DataFrame) -
     return found.groupBy("pred", "arg_no", "arg").agg(fits.alias("valid"))
 
 
+def valid_uses(uses: DataFrame, constraints: DataFrame, closure_of: DataFrame, collections: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """valid_args with the rules of isaGenls: no string, anything first, a collection (node) second; with relations (pred) others are invalid."""
+    either = F.col("pred") == "isaGenls"
+    known = collections.select(F.col("node").alias("arg"), F.lit(True).alias("_coll")).distinct()
+    taxonomic = uses.filter(either).select("pred", "arg_no", "arg").distinct().join(known, "arg", "left")
+    fits = ~F.col("arg").startswith('"') & ((F.col("arg_no") == 1) | F.coalesce("_coll", F.lit(False)))
+    rest = valid_args(uses.filter(~either), constraints, closure_of)
+    if relations is not None:
+        listed = relations.select("pred", F.lit(True).alias("_rel")).distinct()
+        rest = rest.join(listed, "pred", "left").select("pred", "arg_no", "arg", (F.col("valid") & F.coalesce("_rel", F.lit(False))).alias("valid"))
+    return taxonomic.select("pred", "arg_no", "arg", fits.alias("valid")).unionByName(rest)
+
+
 def infoless_predicates(preds: DataFrame, constraints: DataFrame) -> DataFrame:
     """Predicates none of whose places asks for more than the root."""
     real = constraints.filter(F.col("collection") != ROOT).select("pred")

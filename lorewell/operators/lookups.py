@@ -162,3 +162,8 @@ def with_gold(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     joined = one.join(names, "line", "left").filter((F.col("_n") == 0) | (F.size(F.array_distinct("_ids")) == F.size(F.map_keys("_m"))))
     put = F.aggregate(F.array_distinct("_ids"), F.col("line"), lambda acc, i: F.replace(acc, F.concat(F.lit("mapArt('"), i, F.lit("')")), F.col("_m")[i]))
     return joined.select(put.alias("line"))
+
+
+def worth_processing(queue: DataFrame, least: float = 0.0, weight: str = "weight") -> DataFrame:
+    """Candidates above the weight at which the loop over a queue ends."""
+    return queue.filter(F.col(weight) > least)

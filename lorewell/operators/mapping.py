@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,38 @@ def suite(parts: Sequence[tuple[DataFrame, float]], mode: str = "additive", post
     return weights.normalise_max(out, ["source"], cutoff=cutoff)
 
 
+def weighted(lines: Sequence[str], known: Mapping[str, object]) -> list[tuple[str, float]]:
+    """(name, weight) of a configuration's lines `name` or `name<TAB>weight`; an unknown name is an error."""
+    out = []
+    for line in configured(lines):
+        name, _, factor = (x.strip() for x in line.partition("\t"))
+        if name not in known:
+            raise KeyError(f"{name!r} isn't one of {sorted(known)}")
+        out.append((name, float(factor or 1.0)))
+    return out
+
+
+def called(name: str, f: Callable[..., DataFrame], relations: Mapping[str, object]) -> DataFrame:
+    """f with its arguments taken by name from relations; `name.argument` comes before `argument`."""
+    own = {k: relations.get(f"{name}.{k}", relations.get(k)) for k in inspect.signature(f).parameters}
+    return f(**{k: v for k, v in own.items() if v is not None})
+
+
+def by_heuristic(name: str, relations: Mapping[str, object]) -> DataFrame:
+    """(source, target, weight) of one heuristic by its registered name."""
+    return called(name, HEURISTICS[name], relations).select("source", "target", "weight")
+
+
+def configured_suite(lines: Sequence[str], relations: Mapping[str, object], mode: str = "additive", posts: Sequence[Callable[[DataFrame], DataFrame]] = (), cutoff: float = weights.CUTOFF) -> DataFrame:
+    """The suite of the heuristics that a configuration lists, with their weights."""
+    return suite([(by_heuristic(n, relations), w) for n, w in weighted(lines, HEURISTICS)], mode, posts, cutoff)
+
+
+def known_targets(found: DataFrame) -> DataFrame:
+    """Post-processor: without targets that aren't known, null or -1."""
+    return found.filter(F.col("target").isNotNull() & (F.col("target").cast("string") != "-1"))
+
+
 def name_variants(name: Column) -> Column:
     """Title forms of a concept name: camel case split, and with each run of last words in lower case."""
     spaced = F.regexp_replace(F.translate(name, "_", " "), r"(?<=[a-z0-9])(?=[A-Z])", " ")

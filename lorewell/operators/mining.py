@@ -5,13 +5,15 @@ Every miner returns (article_id, heuristic, relation, arg, weight) or, for stand
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import wikitext
+from ..functions import weights, wikitext
+from ..sources.stores import read_tsv, write_tsv
 from .lookups import is_list_title
+from .mapping import called, weighted
 
 #: Kinds of information as bits.
 STANDING, TAXONOMIC, SYNONYM, COMMENT, NON_TAXONOMIC = 1, 2, 4, 8, 16
@@ -47,8 +49,8 @@ def title_synonym(articles: DataFrame) -> DataFrame:
 
 @miner("first sentence", STANDING | SYNONYM | COMMENT)
 def first_sentence(articles: DataFrame, markup: str = "markup") -> DataFrame:
-    """Standings that the first sentence speaks for."""
-    sentence = wikitext.column(wikitext.first_sentence, "string")(F.col(markup))
+    """Standings that the first sentence speaks for, one row for each pattern that fits."""
+    sentence = wikitext.column(wikitext.first_sentence_markup, "string")(F.col(markup))
     found = articles.select("article_id", sentence.alias("s")).filter("s <> ''")
     return found.select("article_id", F.lit("first sentence").alias("heuristic"), F.explode(wikitext.sentence_standings(F.col("s"))).alias("kind"), F.lit(1.0).alias("weight"))
 
@@ -95,6 +97,15 @@ def infobox_types(articles: DataFrame, table: DataFrame, markup: str = "markup")
     return types.join(table, "type").select("article_id", F.lit("infobox type").alias("heuristic"), F.explode(F.array(F.struct(F.lit("INDIVIDUAL").alias("kind"), F.col("ind").alias("weight")), F.struct(F.lit("COLLECTION").alias("kind"), F.col("coll").alias("weight")))).alias("v")).select("article_id", "heuristic", "v.kind", "v.weight")
 
 
+def write_standing_table(table: DataFrame, path: str) -> None:
+    """Keeps (type, ind, coll, unk) as tab-separated text for the next run."""
+    write_tsv(table.select("type", "ind", "coll", "unk"), path)
+
+
+def read_standing_table(spark: SparkSession, path: str) -> DataFrame:
+    return read_tsv(spark, path, "type string, ind double, coll double, unk double")
+
+
 @miner("category", TAXONOMIC | NON_TAXONOMIC)
 def categories(members: DataFrame, near: int = 3) -> DataFrame:
     """(article_id, title, category): birth and death years; other categories, unless much like the title, as a sentence to parse."""
@@ -161,3 +172,23 @@ def examples(df: DataFrame, key: str, item: str, most: int = 10) -> DataFrame:
     """At most `most` examples of each key, chosen by hash."""
     order = Window.partitionBy(key).orderBy(F.xxhash64(F.col(item).cast("string")), item)
     return df.select(key, item).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def configured_miners(lines: Sequence[str], relations: Mapping[str, object], asked: int) -> DataFrame:
+    """(article_id, heuristic, relation, arg, weight) of the miners that a configuration lists and that give something asked for.
+
+    Relations are passed by the names of the miners' arguments. Standings come as relation `standing`.
+    """
+    useful, parts = set(wanted(asked)), []
+    for name, factor in weighted(lines, MINERS):
+        if name not in useful:
+            continue
+        df = called(name, MINERS[name][1], relations)
+        if "kind" in df.columns:
+            df = df.withColumns({"relation": F.lit("standing"), "arg": F.col("kind")})
+        elif "p" in df.columns:
+            df = df.select(F.col("s").alias("article_id"), F.lit(name).alias("heuristic"), F.col("p").alias("relation"), F.col("o").alias("arg"), F.lit(1.0).alias("weight"))
+        parts.append((df.select("article_id", "heuristic", "relation", "arg", "weight"), factor))
+    if not parts:
+        raise ValueError("no configured miner gives what is asked for")
+    return weights.union_scaled(parts)

@@ -193,3 +193,26 @@ def new_names(titles: DataFrame, taken: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1
     both = base.join(used, "base", "left").withColumn("k", F.coalesce("from", F.lit(0)) + nth)
     return both.select("id", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string"))).alias("name"))
+
+
+def anchor_text_search(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, concept): concepts named like the label or the target of an anchor in (id, text)."""
+    one = texts.select("id", F.explode(wikitext.anchors("text")).alias("a"))
+    words = one.select("id", F.explode(F.array_distinct(F.array(F.lower("a.label"), F.lower("a.target")))).alias("_k"))
+    return words.join(names.select(F.lower("name").alias("_k"), "concept").distinct(), "_k").select("id", "concept").distinct()
+
+
+def lemmatise(texts: DataFrame, lemmas: DataFrame, every: bool = False) -> DataFrame:
+    """(id, text): the last word, or every word, replaced by its lemma in (lemma, form); of several lemmas of a form the first.
+
+    id is unique. Runs of white space become one space, words that aren't listed stay as they are.
+    """
+    table = lemmas.groupBy(F.lower("form").alias("_k")).agg(F.min("lemma").alias("_lemma"))
+    words = texts.select("id", F.split("text", r"\s+").alias("_w"))
+    if not every:
+        last = words.withColumn("_k", F.lower(F.element_at("_w", -1))).join(table, "_k", "left")
+        head = F.slice("_w", F.lit(1), F.size("_w") - 1)
+        return last.select("id", F.array_join(F.concat(head, F.array(F.coalesce("_lemma", F.element_at("_w", -1)))), " ").alias("text"))
+    one = words.select("id", F.posexplode("_w").alias("_i", "_word")).withColumn("_k", F.lower("_word")).join(table, "_k", "left")
+    back = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_lemma", "_word").alias("t")))).alias("_w"))
+    return back.select("id", F.array_join(F.col("_w.t"), " ").alias("text"))

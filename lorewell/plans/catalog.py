@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, catalogue_queries, consistency_queries, graph_queries, incremental_queries, lookup_queries, mapping_queries, mining_queries, resolution_queries  # noqa: F401
+from . import base, catalogue_queries, consistency_queries, graph_queries, incremental_queries, lookup_queries, mapping_queries, mining_queries, resolution_queries, sentence_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -169,6 +169,19 @@ def valid_args(spark, d):
     return graph.valid_args(_uses(spark, d).select("pred", "arg_no", "arg").distinct(), _constraints(spark), up)
 
 
+@query("valid_taxonomic_args", """SELECT DISTINCT 'isaGenls' AS pred, 1 + c_custkey % 2 AS arg_no, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN c_name ELSE '"' || c_name || '"' END AS arg, c_custkey % 3 = 0 OR (c_custkey % 3 = 1 AND c_custkey % 2 = 0) AS valid FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT DISTINCT 'unlisted', 1::BIGINT, c_name, false FROM customer""")
+def valid_taxonomic_args(spark, d):
+    c, n = views.table(spark, d, "customer"), views.table(spark, d, "nation")
+    k, quoted = F.col("c_custkey") % 3, F.concat(F.lit('"'), "c_name", F.lit('"'))
+    arg = F.when(k == 0, F.col("n_name")).when(k == 1, F.col("c_name")).otherwise(quoted)
+    uses = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("isaGenls").alias("pred"), (F.lit(1) + F.col("c_custkey") % 2).alias("arg_no"), arg.alias("arg"))
+    uses = uses.union(c.select(F.lit("unlisted"), F.lit(1).cast("long"), "c_name"))
+    relations = spark.createDataFrame([("likes",)], "pred string")
+    up = _up(spark, d).select(F.col("node").alias("instance"), F.col("ancestor").alias("collection"))
+    return graph.valid_uses(uses, _constraints(spark), up, n.select(F.col("n_name").alias("node")), relations)
+
+
 @query("infoless_predicates", f"WITH {_CONS}, {_USES} SELECT DISTINCT pred FROM uses WHERE pred NOT IN (SELECT pred FROM cons WHERE collection <> 'Thing')")
 def infoless_predicates(spark, d):
     return graph.infoless_predicates(_uses(spark, d), _constraints(spark))

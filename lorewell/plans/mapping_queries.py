@@ -67,17 +67,21 @@ def priority_levels(spark, d):
     return weights.best_level(e, ["subject"])
 
 
-@query("title_match", f"WITH {ARTICLES}, n AS (SELECT article_id AS source, upper(title[1]) || title[2:] AS t FROM articles), v AS (SELECT DISTINCT source, t AS v FROM n) SELECT v.source, article_id AS target, CAST(1.0 AS DOUBLE) AS weight FROM v JOIN articles ON title = v")
+@query("title_match", f"""WITH {ARTICLES}, n AS (SELECT article_id AS source, string_split(upper(title[1]) || title[2:], ' ') AS c FROM articles),
+    v AS (SELECT DISTINCT source, array_to_string(list_concat(c[1:len(c) - i], list_transform(c[len(c) - i + 1:], lambda x : lower(x))), ' ') AS t FROM (SELECT source, c, unnest(range(0, len(c) + 1)) AS i FROM n))
+    SELECT DISTINCT v.source, article_id AS target, CAST(1.0 AS DOUBLE) AS weight FROM v JOIN articles ON title = t""")
 def title_match(spark, d):
     a = views.articles(spark, d).select("article_id", "title")
     concepts = a.select(F.col("article_id").alias("source"), F.concat(F.upper(F.substring("title", 1, 1)), F.expr("substring(title, 2)")).alias("name"))
-    exact = concepts.join(a.select(F.col("title").alias("name"), F.col("article_id").alias("target")), "name")
-    return exact.select("source", "target", F.lit(1.0).alias("weight")).distinct()
+    return mapping.title_match(concepts, a)
 
 
-@query("name_variants", "SELECT s_suppkey AS id, 'Acme ' || 'Big ' || 'Shop' AS variant FROM supplier UNION ALL SELECT s_suppkey, 'Acme Big shop' FROM supplier UNION ALL SELECT s_suppkey, 'Acme big shop' FROM supplier UNION ALL SELECT s_suppkey, 'acme big shop' FROM supplier")
+@query("name_variants", """WITH w AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w FROM part), c AS (SELECT id, list_transform(w, lambda x : upper(x[1]) || x[2:]) AS c FROM w)
+    SELECT DISTINCT id, array_to_string(list_concat(c[1:len(c) - i], list_transform(c[len(c) - i + 1:], lambda x : lower(x))), ' ') AS variant FROM (SELECT id, c, unnest(range(0, len(c) + 1)) AS i FROM c)""")
 def name_variants(spark, d):
-    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(mapping.name_variants(F.lit("AcmeBigShop"))).alias("variant"))
+    """Forms of each part's name written in camel case."""
+    name = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(mapping.name_variants(name)).alias("variant"))
 
 
 @query(

@@ -189,6 +189,8 @@ def assertions_by_subject(spark, d):
     return mining.by_subject(rows).drop("args")
 
 
-@query("short_names", "SELECT p_partkey AS id, 'CateMembMine' AS short FROM part")
+@query("short_names", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda w : upper(w[1]) || w[2:4]), '') AS short FROM part")
 def short_names(spark, d):
-    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), wikitext.short_name(F.lit("CategoryMembershipMiner")).alias("short"))
+    """Short forms of each part's name written in camel case."""
+    name = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), wikitext.short_name(name).alias("short"))

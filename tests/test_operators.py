@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lorewell.functions import standing, weights
+from lorewell.functions import standing, weights, wikitext
 from lorewell.operators import consistency, evaluate, graph, lookups, mapping, mining
 from lorewell.sources import stores
 from lorewell.streaming import incremental
@@ -162,7 +162,10 @@ def test_mining(spark):
     assert rows(mining.categories(c), "relation", "arg") == [("birthDate", "1900"), ("deathDate", "1950"), ("isaGenls", "Painters")]
     m = spark.createDataFrame([(1, "{{Infobox x|image=A b.jpg|website=u|caption=c|p2=[[q]]}}'''Jo''' is a [[cat]]. More."), (2, None)], "article_id int, markup string")
     assert rows(mining.infobox_relations(m), "relation", "arg") == [("conceptImage", "A_b.jpg"), ("homepage", "u"), ("p", "[[q]]")]
-    assert rows(mining.first_sentence(m), "kind") == [("UNKNOWN",)]
+    # `X is a Y` says nothing of X's standing; `A X is a Y` speaks for both.
+    more = spark.createDataFrame([(3, "{{a}}<ref>b</ref>\nA '''cat''' is a [[pet]]. More.")], "article_id int, markup string")
+    assert rows(mining.first_sentence(m.union(more)), "article_id", "kind") == [(3, "COLLECTION"), (3, "INDIVIDUAL")]
+    assert more.select(wikitext.sentence_fragment(F.lit("'''Jo''' is a [[cat]] of old.")).alias("f")).first().f == "[[cat]] of old."
     assert rows(mining.sentence_synonyms(m), "arg") == [("Jo",)]
     assert mining.wanted(mining.COMMENT) == ["first sentence"]
     votes = spark.createDataFrame([("t", "x")] * 29 + [("t", "y")] + [("u", "x")], "k string, v string")
