@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.stores import written
+from .consistency import each_module, neighbours, own_pairs, shared
 
 COLLECTION, INDIVIDUAL = "COLLECTION", "INDIVIDUAL"
 #: Collections are never preferred at equal standing.
@@ -46,12 +48,9 @@ class Queue:
 
 
 class Grid:
-    def __init__(self, queues: list[Queue], disjoint: Iterable[tuple[str, str]], constraints: dict[tuple[str, int], tuple[tuple[str, str], ...]] | None = None, base: float = 1.0):
+    def __init__(self, queues: list[Queue], disjoint: Iterable[tuple[str, str]] | Mapping[str, set[str]], constraints: dict[tuple[str, int], tuple[tuple[str, str], ...]] | None = None, base: float = 1.0):
         self.queues = queues
-        self.apart: dict[str, set[str]] = {}
-        for a, b in disjoint:
-            self.apart.setdefault(a, set()).add(b)
-            self.apart.setdefault(b, set()).add(a)
+        self.apart = disjoint if isinstance(disjoint, Mapping) else neighbours(disjoint)
         self.constraints = constraints or {}
         self.total = base + sum(q.cells[0].weight for q in queues if q.parent < 0 and q.cells)
         self.above = [self._chain(x) for x in range(len(queues))]
@@ -176,43 +175,52 @@ def cases(cells: DataFrame, disjoint: DataFrame, constraints: DataFrame | None =
 
     cells (module, x, y, parent, relation, arg, weight, position); parent is the column that x is a fallback of, or null. disjoint
     (a, b) in one order or both; constraints (relation, position, kind, term) with kind isa or genls; truths (module, kind, term);
-    standing (module, ind, coll). The disjoint pairs and constraints that a module's own terms need travel with it, so that
-    nothing in a task grows with the ontology.
+    standing (module, ind, coll). Up to consistency.SHARED disjoint pairs are held by every task; beyond that the pairs that a
+    module's own terms need travel with it, and constraints always do, so that nothing in a task grows with the ontology.
     """
-    spark = cells.sparkSession
-    # The grid is met four times below; its plan is run once.
-    cells = written(cells.select("module", "x", "y", "parent", "relation", "arg", "weight", "position"), "cells")
-    constraints = spark.createDataFrame([], "relation string, position int, kind string, term string") if constraints is None else constraints
-    kind = cells.schema["module"].dataType.simpleString()
-    truths = spark.createDataFrame([], f"module {kind}, kind string, term string") if truths is None else truths
-    bound = cells.select("module", "relation", "position").distinct().join(constraints.select("relation", "position", "kind", "term").distinct(), ["relation", "position"])
-    told = truths.select("module", "kind", "term").distinct()
-    fixed = cells.select("module", F.explode(F.array(F.lit(ANY_COLLECTION), F.lit(FIRST_ORDER))).alias("t"))
-    terms = cells.filter(F.col("relation").isin(EITHER, ISA, GENLS)).select("module", F.col("arg").alias("t")).union(bound.select("module", "term")).union(told.select("module", "term")).union(fixed).distinct()
-    pairs = terms.withColumnRenamed("t", "a").join(disjoint.select("a", "b"), "a").join(terms.withColumnRenamed("t", "b"), ["module", "b"]).groupBy("module").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    cells = cells.select("module", "x", "y", "parent", "relation", "arg", "weight", "position")
+    apart = shared(disjoint)
+    if apart is None or constraints is not None:
+        # The grid is met up to four times below; its plan is run once.
+        cells = written(cells, "cells")
     one = cells.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("x", "y", "parent", "relation", "arg", "weight", "position"))).alias("cells"))
-    one = one.join(pairs, "module", "left").join(bound.groupBy("module").agg(F.collect_set(F.struct("relation", "position", "kind", "term")).alias("rules")), "module", "left")
-    one = one.join(told.groupBy("module").agg(F.collect_set(F.struct("kind", "term")).alias("told")), "module", "left")
-    one = one.withColumns({"ind": F.lit(1.0), "coll": F.lit(1.0)}) if standing is None else one.join(standing.select("module", "ind", "coll"), "module", "left")
+    bound = told = None
+    if constraints is not None:
+        bound = cells.select("module", "relation", "position").distinct().join(constraints.select("relation", "position", "kind", "term").distinct(), ["relation", "position"])
+        one = one.join(bound.groupBy("module").agg(F.collect_set(F.struct("relation", "position", "kind", "term")).alias("rules")), "module", "left")
+    if truths is not None:
+        told = truths.select("module", "kind", "term").distinct()
+        one = one.join(told.groupBy("module").agg(F.collect_set(F.struct("kind", "term")).alias("told")), "module", "left")
+    if standing is not None:
+        one = one.join(standing.select("module", "ind", "coll"), "module", "left")
+    if apart is None:
+        terms = cells.filter(F.col("relation").isin(EITHER, ISA, GENLS)).select("module", F.col("arg").alias("t"))
+        for more in (bound, told):
+            terms = terms if more is None else terms.union(more.select("module", "term"))
+        terms = terms.union(cells.select("module", F.explode(F.array(F.lit(ANY_COLLECTION), F.lit(FIRST_ORDER)))))
+        one = one.join(own_pairs(terms.distinct(), disjoint), "module", "left")
+
+    def search(m: dict) -> list:
+        places = {x: i for i, x in enumerate(dict.fromkeys(c["x"] for c in m["cells"]))}
+        queues: list[Queue] = []
+        for c in m["cells"]:
+            if places[c["x"]] == len(queues):
+                queues.append(Queue(c["y"], [], places.get(c["parent"], -1)))
+            queues[-1].cells.append(Cell(c["relation"], c["arg"], c["weight"], c["position"]))
+        rules: dict = {}
+        for r in sorted((r["relation"], r["position"], r["kind"], r["term"]) for r in m.get("rules") or ()):
+            rules[r[:2]] = (*rules.get(r[:2], ()), r[2:])
+        near = neighbours((q["a"], q["b"]) for q in m.get("pairs") or ()) if apart is None else apart
+        known = [(t["kind"], t["term"]) for t in m.get("told") or ()]
+        ind, coll = (1.0 if v is None or v != v else v for v in (m.get("ind"), m.get("coll")))
+        return heaviest(Grid(queues, near, rules, base), ind, coll, [t for k, t in known if k != GENLS], [t for k, t in known if k == GENLS], most)
 
     def run(batches):
-        for p in batches:
-            rows = []
-            for m in p.itertuples(index=False):
-                places = {x: i for i, x in enumerate(dict.fromkeys(c["x"] for c in m.cells))}
-                queues: list[Queue] = []
-                for c in m.cells:
-                    if places[c["x"]] == len(queues):
-                        queues.append(Queue(c["y"], [], places.get(c["parent"], -1)))
-                    queues[-1].cells.append(Cell(c["relation"], c["arg"], c["weight"], c["position"]))
-                rules: dict = {}
-                for r in sorted((r["relation"], r["position"], r["kind"], r["term"]) for r in (m.rules if m.rules is not None else ())):
-                    rules[r[:2]] = (*rules.get(r[:2], ()), r[2:])
-                grid = Grid(queues, [(q["a"], q["b"]) for q in (m.pairs if m.pairs is not None else ())], rules, base)
-                told = [(t["kind"], t["term"]) for t in (m.told if m.told is not None else ())]
-                ind, coll = (1.0 if pd.isna(v) else v for v in (m.ind, m.coll))
-                got = heaviest(grid, ind, coll, [t for k, t in told if k != GENLS], [t for k, t in told if k == GENLS], most)
-                rows += [(m.module, i, k, w, " ".join(s), [{"relation": r, "arg": a} for r, a in found]) for i, (k, w, s, found) in enumerate(got)]
-            yield pd.DataFrame(rows, columns=["module", "place", "kind", "weight", "seed", "assertions"])
-
-    return one.mapInPandas(run, f"module {kind}, place int, kind string, weight double, seed string, assertions array<struct<relation:string,arg:string>>")
+        for some in each_module(batches):
+            rows = [{"module": m["module"], "place": i, "kind": k, "weight": w, "seed": " ".join(s), "assertions": [{"relation": r, "arg": a} for r, a in found]} for m in some for i, (k, w, s, found) in enumerate(search(m))]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    kind = cells.schema["module"].dataType
+    pair = pa.list_(pa.struct([("relation", pa.string()), ("arg", pa.string())]))
+    schema = pa.schema([("module", to_arrow_type(kind)), ("place", pa.int32()), ("kind", pa.string()), ("weight", pa.float64()), ("seed", pa.string()), ("assertions", pair)])
+    return one.mapInArrow(run, f"module {kind.simpleString()}, place int, kind string, weight double, seed string, assertions array<struct<relation:string,arg:string>>")
