@@ -8,9 +8,6 @@ from lorewell.plans import catalog
 DIR = "/root/testdata/sf0.001"
 
 
-
-
-
 def test_searches_read_their_tables_once(spark):
     for name in ("consistency_solver", "conjoint_cases"):
         plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
