@@ -174,7 +174,7 @@ def interval_parse(spark, d):
 @query("list_children", f"WITH {ARTICLES} SELECT c.article_id, 'list' AS heuristic, 'isaGenls' AS relation, CAST(l.article_id AS VARCHAR) AS arg, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT article_id FROM articles WHERE article_id % 10 = 3) l JOIN articles o ON o.article_id = l.article_id + 1 JOIN articles c ON c.title = o.title")
 def list_children(spark, d):
     a = views.articles(spark, d).select("article_id", "title")
-    nxt = a.select((F.col("article_id") - 1).alias("focus_id"), F.concat(F.lit("* The [["), "title", F.lit("|x]] one")).alias("markup")).filter("focus_id % 10 = 3")
+    nxt = a.select((F.col("article_id") - 1).alias("focus_id"), F.concat(F.lit("* The [["), wikitext.anchored(F.col("title")), F.lit("|x]] one")).alias("markup")).filter("focus_id % 10 = 3")
     return mining.list_children(nxt, a)
 
 
