@@ -135,9 +135,7 @@ def tables(spark, d):
 
 @query("levenshtein_filter", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 3")
 def levenshtein_filter(spark, d):
-    p = views.table(spark, d, "part").select("p_brand", "p_size", "p_partkey", "p_name")
-    a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("na")), p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"))
-    return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & (F.levenshtein("na", "nb", 3) != -1)).select("a", "b")
+    return mining.near_names(views.table(spark, d, "part"), ["p_brand", "p_size"], "p_partkey", "p_name")
 
 
 @query("category_miner", "SELECT o_orderkey AS article_id, 'category' AS heuristic, CASE o_orderkey % 3 WHEN 0 THEN 'birthDate' WHEN 1 THEN 'deathDate' ELSE 'isaGenls' END AS relation, CASE o_orderkey % 3 WHEN 2 THEN o_orderpriority ELSE CAST(year(o_orderdate) AS VARCHAR) END AS arg, CAST(1.0 AS DOUBLE) AS weight FROM orders")
